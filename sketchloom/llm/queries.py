@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
+from .simhash_vp import op9_simhash_vp
 
 QUERIES = {
     "op1_quality_subword": op1_quality_subword,
+    "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
 }
 
