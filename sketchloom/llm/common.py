@@ -21,7 +21,7 @@ WORD = rf"[^{WS_CLASS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes that one vectorised step takes at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op8_vector_best_fit
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
 from .simhash_vp import op9_simhash_vp
 
 QUERIES = {
     "op1_quality_subword": op1_quality_subword,
+    "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
 }
