@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op8_vector_best_fit
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
@@ -9,9 +10,12 @@ from .simhash_vp import op9_simhash_vp
 
 QUERIES = {
     "op1_quality_subword": op1_quality_subword,
+    "op3_line_dedup": op3_line_dedup,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
