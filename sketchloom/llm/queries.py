@@ -5,6 +5,7 @@ from __future__ import annotations
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op6_block_mix
 from .packing import op8_vector_best_fit
+from .pii import op4_candidate_boost
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
 from .simhash_vp import op9_simhash_vp
@@ -12,6 +13,7 @@ from .simhash_vp import op9_simhash_vp
 QUERIES = {
     "op1_quality_subword": op1_quality_subword,
     "op3_line_dedup": op3_line_dedup,
+    "op4_candidate_boost": op4_candidate_boost,
     "op6_block_mix": op6_block_mix,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
