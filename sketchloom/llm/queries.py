@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embed_dedup import op7_multi_index
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op6_block_mix
 from .packing import op8_vector_best_fit
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_candidate_boost": op4_candidate_boost,
     "op6_block_mix": op6_block_mix,
+    "op7_multi_index": op7_multi_index,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
