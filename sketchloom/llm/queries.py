@@ -10,9 +10,11 @@ from .pii import op4_candidate_boost
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
 from .simhash_vp import op9_simhash_vp
+from .toxicity import op2_ordinal_toxicity
 
 QUERIES = {
     "op1_quality_subword": op1_quality_subword,
+    "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_candidate_boost": op4_candidate_boost,
     "op6_block_mix": op6_block_mix,
