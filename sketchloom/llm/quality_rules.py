@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import boost
-from .common import bounded_sample, steps, texts_of, word_ids
+from .common import bounded_sample, read, steps, texts_of, word_ids
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -125,15 +126,18 @@ def judge(docs: DataFrame, model: boost.Trees, threshold: float = 0.5) -> DataFr
                 kept = ~failed & (score >= threshold)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(base[:, j]) for j in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(kept)], names=[*part.schema.names, *names])
 
-    from pyspark.sql import types as T
-
     out = T.StructType([*schema.schema.fields, *(T.StructField(b, T.LongType()) for b in BASE), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     return schema.mapInArrow(op, out)
 
 
-def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from .common import read
+def passing(docs: DataFrame, model: boost.Trees) -> DataFrame:
+    """The rows of docs that are kept, with all columns of docs as they are."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row")) if set(docs.columns) & {*BASE, "base_failed", "score", "kept"} else docs
+    kept = judge(rows, model).where("kept")
+    return kept.select("_row.*" if rows is not docs else docs.columns)
+
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
     return judge(docs.select("doc_id", "text"), model).select("doc_id", *BASE, "base_failed", "kept", "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embed_dedup import op7_multi_index
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .lm_score import op5_cross_entropy
 from .mixing import op6_block_mix
 from .packing import op8_vector_best_fit
 from .pii import op4_candidate_boost
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_candidate_boost": op4_candidate_boost,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_block_mix": op6_block_mix,
     "op7_multi_index": op7_multi_index,
     "op8_vector_best_fit": op8_vector_best_fit,
