@@ -30,3 +30,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table, `<sf_dir>/<table>.parquet`."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores: dealt by key if it has fewer partitions than the session has slots."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
