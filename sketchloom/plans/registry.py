@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import ordering, scanning, sketching  # noqa: F401
+from . import measuring, ordering, scanning, sketching  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
