@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 
 PORTABLE_BITS = 60
+#: Sequences that the kernel takes at once.
+STEP_ROWS = 256
 
 
 def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
@@ -30,12 +32,15 @@ def hits(contigs: DataFrame, k: int = 21, scaled: int = 20, seed: int = 42) -> D
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                seq = batch.column(2)[i].as_py()
-                if seq is None:
-                    continue
-                pos, h = S.sketch(seq.encode(), k, scaled, seed)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos + batch.column(1)[i].as_py()), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
+            rows = [(i, s.encode()) for i, s in enumerate(batch.column(2).to_pylist()) if s]
+            for part in [rows[a : a + STEP_ROWS] for a in range(0, len(rows), STEP_ROWS)]:
+                # one run of the kernel for many sequences: the letter between them ends every k-mer
+                begin = np.cumsum([0, *(len(s) + 1 for _, s in part)])[:-1]
+                pos, h = S.sketch(b"N".join(s for _, s in part), k, scaled, seed)
+                own = np.searchsorted(begin, pos, side="right") - 1
+                row = pa.array(np.array([i for i, _ in part])[own])
+                at = batch.column(1).take(row).to_numpy() + pos - begin[own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
 
     return chunked(contigs, k).mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 
