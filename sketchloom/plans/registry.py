@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import measuring, modelling, ordering, scanning, sketching  # noqa: F401
+from . import displaying, measuring, modelling, ordering, scanning, sketching  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
