@@ -132,7 +132,8 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     # full passes over a source take each block once, whatever their permutation; the slot says which pass
     index = permuted(F.expr("slot % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", F.expr("slot div blocks")))
     times = taken_slots.select("number", index.alias("block")).groupBy("number", "block").agg(F.count("*").alias("times"))
-    return rows, spans.join(times, ["number", "block"]).select("number", "begin", "start", "words", "times")
+    # by size of what the slots are exploded from, the planner would broadcast them
+    return rows, spans.join(times.hint("merge"), ["number", "block"]).select("number", "begin", "start", "words", "times")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
