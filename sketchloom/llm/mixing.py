@@ -127,7 +127,8 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     spans = spans.select("number", "begin", "block", "start", (F.col("end") - F.col("begin") - F.col("start")).alias("words"))
     drawn = spark.createDataFrame(shards(slots, seed) or [(0, 0, 0, 0)], "shard int, number int, first bigint, count bigint").where("count > 0")
     size_of = table.select("number", "blocks")
-    chunks = drawn.join(F.broadcast(size_of), "number").select("number", "blocks", "count", "first", F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(SHARD_SLOTS // 8))).alias("at")).repartition("number", "first", "at")
+    tasks = max(spark.sparkContext.defaultParallelism, min(10_000, sum(slots) // SHARD_SLOTS))  # a fixed number: few small rows make many slots
+    chunks = drawn.join(F.broadcast(size_of), "number").select("number", "blocks", "count", "first", F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(SHARD_SLOTS // 8))).alias("at")).repartition(tasks, "number", "first", "at")
     taken_slots = chunks.select("number", "blocks", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("count"), F.col("at") + SHARD_SLOTS // 8) - 1)).alias("slot"))
     # full passes over a source take each block once, whatever their permutation; the slot says which pass
     index = permuted(F.expr("slot % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", F.expr("slot div blocks")))
