@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -111,12 +112,13 @@ def g2_chain_loci(spark, sf_dir):
     return O.loci(hits, 259_200)
 
 
-@query("""WITH p AS (SELECT l_orderkey AS contig, l_linenumber * 1000000 + l_partkey AS w, l_returnflag AS chrom, l_partkey / 100 AS mb FROM lineitem WHERE l_quantity >= 5),
+@query("""WITH p AS (SELECT l_orderkey AS contig, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS w, l_returnflag AS chrom, l_partkey / 100 AS mb FROM lineitem WHERE l_quantity >= 5),
 b AS (SELECT contig, lag(chrom) OVER o <> chrom OR abs(lag(mb) OVER o - mb) > 5 AS broken FROM p WINDOW o AS (PARTITION BY contig ORDER BY w))
 SELECT contig, count(*) FILTER (WHERE broken) AS jumps FROM b GROUP BY contig""")
 def g3_order_jumps(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").where("l_quantity >= 5")
-    return O.jumps(rows.select(F.col("l_orderkey").alias("contig"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("w"), F.col("l_returnflag").alias("chrom"), (F.col("l_partkey") / 100).alias("mb")))
+    w = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag"))
+    return O.jumps(rows.select(F.col("l_orderkey").alias("contig"), w.alias("w"), F.col("l_returnflag").alias("chrom"), (F.col("l_partkey") / 100).alias("mb")))
 
 
 @query("""WITH v AS (SELECT l_orderkey AS contig, l_linenumber * 1000000 + l_partkey AS w, l_partkey / 100 AS mb FROM lineitem),
