@@ -99,7 +99,6 @@ def explained(rows: DataFrame, cluster: str, value: str) -> DataFrame:
 
 def close_recall(pairs: DataFrame, near: str, by: str, share: float) -> DataFrame:
     """One row (n, recall): of the pairs nearest by `near`, the part that is nearest by `by` too; ties by (a, b)."""
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "a", "b"))
     n = pairs.count()
     top = max(1, math.ceil(n * share))
     first, second = (pairs.orderBy(F.desc(c), "a", "b").limit(top).select("a", "b") for c in (near, by))
