@@ -7,7 +7,6 @@ which training keeps those that speak for toxicity beyond chance.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 

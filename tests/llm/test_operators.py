@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
