@@ -168,7 +168,9 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     base = base.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie", "source").orderBy("_tie")))
     joined = base.alias("d").join(picked.alias("p"), F.expr("d.doc_id <=> p._id AND d._tie = p._tie AND d.source <=> p._source AND d._nth = p._nth"))
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"([{WS_CLASS}]*{WORD})"), F.lit(1))
-    joined = joined.select(*[F.col(f"d.{c}") for c in docs.columns], "_spans", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda x: x["times"])))).alias("_copy"), words.alias("_words"))
+    # the words are split below the explode: above it they would be split anew for each span
+    joined = joined.select(*[F.col(f"d.{c}") for c in docs.columns], "_spans", words.alias("_words"))
+    joined = joined.select("*", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda x: x["times"])))).alias("_copy"))
     own = F.flatten(F.transform(F.filter("_spans", lambda x: x["times"] >= F.col("_copy")), lambda x: F.slice(F.col("_words"), x["start"].cast("int") + 1, x["words"].cast("int"))))
     text = F.ltrim(F.array_join(own, ""))
     made = joined.withColumn("text", text)
