@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, drop_folder, new_folder, read
+from .common import WS_CHARS, ascii_lower, drop_folder, new_folder, read, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -95,7 +95,8 @@ def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS) ->
     runs = Runs(spark)
     for b in range(len(bounds) + 1):
         runs.add(table.where(F.col("batch") == b).groupBy("h", "g").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")))
-    hot = runs.total().where(F.col("docs") >= min_docs).select("h", "g", "owner")
+    # a table of its own, so that the planner can split a hot key's lines in the join
+    hot = written(runs.total().where(F.col("docs") >= min_docs).select("h", "g", "owner"), "hot")
     return table.select("doc_id", "h", "g").join(hot, ["h", "g"]).where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("keys"))
 
 
