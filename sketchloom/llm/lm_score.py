@@ -1,9 +1,15 @@
 """LM scoring (5): cross-entropy difference of two n-gram models.
 
 A target model (documents labelled good) and a background model (all documents) share one
-vocabulary: every word, hashed to a fixed number of ids. Both are interpolated bigram
-models; a document's score is the mean over its words of the background's loss less the
-target's (higher: more like the target).
+vocabulary: every word of the corpus. Both are interpolated bigram models; a document's
+score is the mean over its words of the background's loss less the target's (higher: more
+like the target).
+
+Words and bigrams are counted under 64-bit hashes, so vocabulary and counts grow with the
+corpus. Texts are coded once, in chunks: each chunk sends its distinct words and bigrams
+with their own counts to the task that a hash belongs to and gets back the corpus's counts
+of just these (cross_entropy()). train() and scored() are the form with one table of fixed
+size, for a corpus of few words; the query does not use it.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read, steps, texts_of, word_ids, written
 
-#: Ids of the shared vocabulary, and rows of the bigram table (each a power of two).
+#: Ids of the vocabulary and rows of the bigram table of the fixed form, train() (each a power of two).
 WORDS, PAIRS = 1 << 17, 1 << 20
 #: Weight of the bigram estimate, and the count that smooths each unigram.
 MIX, PRIOR = 0.6, 0.1
 _START = WORDS  # the id before a text's first word
+#: Text bytes of a chunk, and distinct n-grams that a counting task should get of all chunks.
+CHUNK_BYTES, PART = 16 << 20, 1 << 20
+_START_KEY = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +122,163 @@ def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(op, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
 
 
+def packed(keys: np.ndarray, ordered: bool = False) -> bytes:
+    """Whole numbers as compressed byte planes; ascending ones as their steps."""
+    a = np.ascontiguousarray(keys, "<u8")
+    if ordered:
+        a = np.diff(a, prepend=np.uint64(0))
+    return pa.compress(a.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, ordered: bool = False) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    a = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(a, dtype=np.uint64) if ordered else a
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bigrams of words with these hashes."""
+    k = first * np.uint64(0x9E3779B97F4A7C15) + second
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        k = (k ^ (k >> np.uint64(33))) * np.uint64(c)
+    return k ^ (k >> np.uint64(33))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """The texts in chunks: (chunk, doc_id, n, distinct, words, ids).
+
+    words: the hashes of the chunk's distinct lower-cased words and of the start of a text,
+    ascending; ids: each word's place in them, n[i] of document i.
+    """
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, most=CHUNK_BYTES):
+                offsets, ids, words = word_ids(texts_of(part))
+                lowered = pc.utf8_lower(words).cast(pa.large_binary()).to_pylist()
+                keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in lowered), np.uint64, len(lowered))
+                own, place = np.unique(np.append(keys, _START_KEY), return_inverse=True)
+                cols = [pa.array([x], t) for x, t in ((part.column(0).to_pylist(), pa.list_(pa.int64())), (np.diff(offsets).tolist(), pa.list_(pa.int64())), (len(own), pa.int64()), (packed(own, True), pa.binary()), (packed(place[ids]), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "distinct", "words", "ids"])
+
+    coded = docs.select("doc_id", "text").mapInArrow(op, "doc_id array<bigint>, n array<bigint>, distinct bigint, words binary, ids binary")
+    return written(coded.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+class Chunk:
+    """A row of chunks() with its distinct bigrams, in the order of their hashes."""
+
+    def __init__(self, table: pa.Table) -> None:
+        row = {c: table.column(c)[0].as_py() for c in ("chunk", "doc_id", "n", "distinct", "words", "ids")}
+        self.chunk, self.doc_id, self.n = row["chunk"], row["doc_id"], np.array(row["n"], np.int64)
+        self.words = unpacked(row["words"], row["distinct"], True)
+        self.ids = unpacked(row["ids"], int(self.n.sum())).astype(np.int64)
+        offsets, self.start = np.append(0, self.n.cumsum()), int(np.searchsorted(self.words, _START_KEY))
+        first = np.empty_like(self.ids)
+        first[1:] = self.ids[:-1]
+        first[offsets[:-1][self.n > 0]] = self.start
+        codes, pair = np.unique(first * len(self.words) + self.ids, return_inverse=True)
+        first, second = np.divmod(codes, len(self.words))
+        keys = pair_keys(self.words[first], self.words[second])
+        order = keys.argsort(kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        #: hash, first and second word of each distinct bigram, and the bigram at each word
+        self.keys, self.first, self.second, self.pair = keys[order], first[order], second[order], back[pair]
+
+    def counts(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and bigrams of the documents that are on."""
+        at = np.repeat(on, self.n)
+        words = np.bincount(self.ids[at], minlength=len(self.words))
+        words[self.start] = (self.n[on] > 0).sum()
+        return words, np.bincount(self.pair[at], minlength=len(self.keys))
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash, in the order of the hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def cross_entropy(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, score) of every row; losses are nats a word.
+
+    The models count the documents themselves: all of them, and those labelled good outside
+    the held-out fifth. score = background_loss - target_loss. A null or empty text has no
+    words, losses of 0 and score 0. Repeated rows count and score each; an empty table gives
+    no rows.
+    """
+    good = labels.where((F.col("quality") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    coded = chunks(docs)
+    rows = coded.select("chunk", F.posexplode("doc_id").alias("at", "doc_id"), "n").select("chunk", "at", "doc_id", F.get("n", "at").alias("n"))
+    # labels grow with the documents: one plan at every size, never a broadcast of them
+    told = written(rows.where("doc_id is not null").join(good.hint("merge"), "doc_id").select("chunk", "at", "n"), "good")
+    target = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = coded.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    total, parts = (target, sizes[0]), (-(-sizes[1] // PART) or 1, -(-sizes[0] // PART) or 1)
+
+    def split(keys: np.ndarray, many: int) -> Iterator[tuple[int, slice]]:
+        cuts = np.searchsorted(part_of(keys, many), np.arange(many + 1)).tolist()
+        return ((k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b)
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for many, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = unpacked(raw, many, True)
+                cols = list(zip(*[(k, at.stop - at.start, packed(keys[at], True)) for k, at in split(keys, parts[0])]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["part", "many", "keys"])
+
+    def different(table: pa.Table) -> pa.Table:
+        keys = [unpacked(raw, many, True) for many, raw in zip(table.column("many").to_pylist(), table.column("keys").to_pylist())]
+        return pa.table({"words": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
+
+    # the vocabulary: different words of the corpus, less the start of a text, and one more for any other
+    found = coded.select("distinct", "words").mapInArrow(words_of, "part bigint, many bigint, keys binary").groupBy("part").applyInArrow(different, "words bigint")
+    vocabulary = found.agg(F.coalesce(F.sum("words"), F.lit(1))).first()[0]
+
+    def ask(one: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(6)]
+        if one.num_rows:
+            c = Chunk(one)
+            is_good = np.zeros(len(c.n), bool)
+            is_good[told.column("at").to_numpy()] = True
+            counts = c.counts(is_good), c.counts(np.ones(len(c.n), bool))
+            for kind, keys in enumerate((c.words, c.keys)):
+                for k, at in split(keys, parts[kind]):
+                    for col, x in zip(out, (k + kind * parts[0], c.chunk, at.stop - at.start, packed(keys[at], True), packed(counts[0][kind][at]), packed(counts[1][kind][at]))):
+                        col.append(x)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("part", "chunk", "many", "keys", "target", "background"), out, (*[pa.int64()] * 3, *[pa.binary()] * 3))})
+
+    def answer(table: pa.Table) -> pa.Table:
+        many = table.column("many").to_pylist()
+        cuts = np.append(0, np.cumsum(many)).tolist()
+        keys, inverse = np.unique(np.concatenate([unpacked(x, n, True) for n, x in zip(many, table.column("keys").to_pylist())]), return_inverse=True)
+        out = {c: table.column(c) for c in ("part", "chunk", "many")}
+        for c in ("target", "background"):
+            own = np.concatenate([unpacked(x, n) for n, x in zip(many, table.column(c).to_pylist())])
+            all_of = np.bincount(inverse, own, len(keys)).astype(np.int64)[inverse]
+            out[c] = pa.array([packed(all_of[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+        return pa.table(out)
+
+    def score(one: pa.Table, told: pa.Table) -> pa.Table:
+        out = [pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.float64()] * 3)]
+        if one.num_rows:
+            c, told = Chunk(one), told.sort_by("part")
+            doc, loss = np.repeat(np.arange(len(c.n)), c.n), []
+            for k, name in enumerate(("target", "background")):
+                got = np.concatenate([unpacked(x, n) for n, x in zip(told.column("many").to_pylist(), told.column(name).to_pylist())]).astype(float)
+                words, pairs = got[: len(c.words)], got[len(c.words) :]
+                uni = (words + PRIOR) / (total[k] + PRIOR * vocabulary)
+                history = words[c.first]
+                p = np.where(history > 0, MIX * pairs / np.maximum(history, 1), 0) + np.where(history > 0, 1 - MIX, 1) * uni[c.second]
+                loss.append(np.bincount(doc, -np.log(p)[c.pair], len(c.n)) / np.maximum(c.n, 1))
+            out = [pa.array(c.doc_id, pa.int64()), pa.array(c.n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])]
+        return pa.table(dict(zip(("doc_id", "n_words", "target_loss", "background_loss", "score"), out)))
+
+    by = coded.groupBy("chunk")
+    asked = by.cogroup(told.select("chunk", "at").groupBy("chunk")).applyInArrow(ask, "part bigint, chunk bigint, many bigint, keys binary, target binary, background binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "part bigint, chunk bigint, many bigint, target binary, background binary")
+    return by.cogroup(answered.groupBy("chunk")).applyInArrow(score, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
+
+
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return scored(docs, train(docs, read(spark, sf_dir, "labels")))
+    return cross_entropy(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -230,6 +230,38 @@ def test_lm_scores(spark, odd, none):
     assert lm_score.scored(none, table).count() == 0
 
 
+def brute_losses(rows, good):
+    """(n, target loss, background loss) of each text under exact n-gram counts."""
+    split = [words((t or "").lower()) for _, t in rows]
+    pairs = [list(zip([None, *w], w)) for w in split]
+    vocabulary, p = len({x for w in split for x in w}) + 1, []
+    for on in ([i in good for i, _ in rows], [True] * len(rows)):
+        uni, two = Counter(x for w, o in zip(split, on) if o for x in w), Counter(x for w, o in zip(pairs, on) if o for x in w)
+        head, total = Counter(uni) + Counter({None: sum(bool(w) and o for w, o in zip(split, on))}), sum(uni.values())
+        one = lambda b, uni=uni, total=total: (uni[b] + lm_score.PRIOR) / (total + lm_score.PRIOR * vocabulary)
+        p.append(lambda a, b, two=two, head=head, one=one: lm_score.MIX * two[a, b] / head[a] + (1 - lm_score.MIX) * one(b) if head[a] else one(b))
+    return [(len(w), *(sum(-np.log(f(a, b)) for a, b in w) / max(len(w), 1) for f in p)) for w in pairs]
+
+
+def test_lm_counts_every_ngram(spark, odd, none, monkeypatch):
+    # more different words than the fixed table has ids
+    r = random.Random(5)
+    rows = [(i, " ".join(f"W{r.randrange(400_000)}" if r.random() < 0.8 else r.choice(["the", "Of", "and"]) for _ in range(6000))) for i in range(60)]
+    rows += [(60, None), (61, ""), (None, "the Of and"), (3, "the and"), (3, "the and")]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "PART", 1 << 16)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 1 << 18)
+    want = brute_losses(rows, {i for i in range(60) if i % 2 and zlib.crc32(str(i).encode()) % 5})
+    key = lambda x: (-1 if x[0] is None else x[0], x[1])
+    got = sorted(((x["doc_id"], x["n_words"], x["target_loss"], x["background_loss"], x["score"]) for x in lm_score.cross_entropy(docs, labels).collect()), key=key)
+    want = sorted(((i, *x, x[2] - x[1]) for (i, _), x in zip(rows, want)), key=key)
+    assert len(got) == len(want) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9) for a, b in zip(got, want))
+    far = lm_score.cross_entropy(odd, labels.limit(0)).collect()
+    assert len(far) == len(ODD) and all(x["score"] == 0 for x in far if x["n_words"] == 0)
+    assert lm_score.cross_entropy(none, labels).count() == 0
+
+
 # 6: mixing ------------------------------------------------------------------------------
 
 
