@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_dedup
 from .common import components, read, spanning, texts_of, written
 
 #: Bits and radius of each view: radii sum to 4 - 4 + 1.
@@ -217,14 +218,8 @@ def classes(docs: DataFrame, words: int = 4, views=VIEWS, radius: int = RADIUS)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id.
-
-    Repeated rows of one doc_id are copies as well: one stays. Rows without a doc_id are
-    outside the classes; of equal texts among them one stays.
-    """
-    keep = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """docs without near copies: the pipeline's stage, on five-word shingles (shingle_dedup)."""
+    return shingle_dedup.deduplicated(docs)
 
 
 def op9_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:

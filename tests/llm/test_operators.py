@@ -445,6 +445,32 @@ def test_trees_find_all_pairs(spark):
     assert pairs(mine) == pairs([int(own[k]) for k in label])
 
 
+def test_stage_drops_near_copies(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.choice([12, 80, 300]))]
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(r.randint(0, 4)):  # copies of copies, so chains of links too
+            w = list(w)
+            for _ in range(max(1, int(len(w) * r.choice([0.005, 0.01, 0.02, 0.04])))):
+                w[r.randrange(len(w))] = f"z{r.randrange(9**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(7, "another text under the id of a text"), (None, rows[3][1] + " end"), (None, "of no id"), (None, "of no id"), (5, rows[5][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(t) for _, t in rows)]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(rows))
+    for _ in range(40):
+        label = np.minimum(label, np.where(near, label[None, :], len(rows)).min(1))
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    best = {k: min(order(i) for i in np.flatnonzero(label == k)) for k in set(label.tolist())}
+    got = simhash_vp.deduplicated(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    at = {t: int(label[i]) for i, (_, t) in enumerate(rows)}
+    assert sorted(at[x["text"]] for x in got) == sorted(best)
+    assert all((x["doc_id"] is None, x["doc_id"] or 0) == best[at[x["text"]]] for x in got)
+    assert len(rows) - len(best) > 80
+
+
 def test_pipeline(spark, docs, sf):
     import corpus_pipeline as c
 
