@@ -27,13 +27,16 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Generators of the candidates: written-out addresses, and any run of digits with separators.
+#: Generators of the candidates: written-out addresses, and any run of digits with separators,
+#: whole and in each sub-run of its groups with the digits of a card or a phone.
 MAIL_LIKE = r"(?:\G|(?<![\w.%+-]))[\w.%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[\w-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[\w-]++)++"
 DIGITS_LIKE = r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9])++"
-FEATURES = ("kind", "digits", "chars", "dots", "blanks", "hyphens", "parens", "plus", "luhn", "parts", "before", "after", "ctx_card", "ctx_phone", "ctx_net", "groups", "alphas", "slashes")
+FEATURES = ("kind", "digits", "chars", "dots", "blanks", "hyphens", "parens", "plus", "luhn", "parts", "before", "after", "ctx_card", "ctx_phone", "ctx_net", "groups", "alphas", "slashes", "left", "right")
 _CONTEXT = {"ctx_card": "card|visa|credit|cc:", "ctx_phone": "tel|phone|call|fax|mobile|whatsapp", "ctx_net": "\\bip\\b|addr|host|mail"}
 #: Snippets that the trees are fitted on; the last fifth sets the thresholds.
 SNIPPETS, PRECISION, SEED = 4_000, 0.995, 4
+#: A group with the separators after it (a parenthesis before digits goes with them), and the most digits of a candidate.
+GROUP, LONGEST = r"[+(]?[0-9]++[\x20().:/-]{0,2}?(?=\(?[0-9]|$)", 19
 _STEP = 64
 
 
@@ -100,6 +103,34 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
+def sub_runs(runs: Column) -> Column:
+    """(s, e, m) of every sub-run of consecutive groups with 4 to LONGEST digits of each run.
+
+    A sub-run starts at its first group's plus or parenthesis and ends at its last digit.
+    """
+
+    def cut(x: Column) -> Column:
+        once = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  value is computed once
+        starts = lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), F.array(F.lit(0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(y))))
+        at = once(F.regexp_extract_all(x["m"], F.lit(GROUP), F.lit(0)), lambda g: F.zip_with(g, starts(g), lambda m, s: F.struct(m.alias("m"), s.alias("s"))))
+
+        def sub(groups: Column) -> Column:
+            def upto(some: Column) -> Column:
+                m = F.regexp_replace(F.array_join(F.transform(some, lambda g: g["m"]), ""), r"[^0-9]+$", "")
+                s = x["s"] + F.get(some, 0)["s"]
+                return F.struct(s.alias("s"), (s + F.char_length(m)).alias("e"), m.alias("m"))
+
+            def from_group(_: Column, i: Column) -> Column:
+                near = lambda some: F.transform(F.sequence(F.lit(1), F.size(some)), lambda j: upto(F.slice(some, F.lit(1), j)))
+                return once(F.slice(groups, i + 1, F.lit(LONGEST)), near)
+
+            return F.filter(F.flatten(F.transform(groups, from_group)), lambda y: F.char_length(digits_of(y["m"])).between(4, LONGEST))
+
+        return once(at, sub)
+
+    return F.flatten(F.transform(runs, cut))
+
+
 def with_candidates(docs: DataFrame) -> DataFrame:
     """with_base() rows and _candidates: (s, e, kind, x), x being the features."""
     t = F.col("_text")
@@ -107,7 +138,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("_mails", F.when(at, found(t, "(?i)" + MAIL_LIKE))).withColumn("_digits", F.when(t.rlike("[0-9]"), found(t, DIGITS_LIKE)))
     for c in ("_mails", "_digits"):
         out = out.withColumn(c, F.coalesce(F.when(F.size(F.col(f"{c}.m")) > 0, placed(F.col(c))), F.array().cast(_NONE)))
-    out = out.withColumn("_digits", F.filter("_digits", lambda x: F.char_length(digits_of(x["m"])).between(4, 19)))
+    out = out.withColumn("_digits", sub_runs(F.col("_digits")))
     as_kind = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(KINDS.index(k)).alias("kind"))
     n = lambda x: F.char_length(digits_of(x["m"]))
     proposed = F.concat(
@@ -124,19 +155,23 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         before = F.when(s > 0, F.substring(t, s, F.lit(1))).otherwise("")
         window = F.lower(F.substring(t, F.greatest(s - 23, F.lit(1)), F.least(F.lit(24), s)))
         flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+        # digits that stand next: 2 after a separator other than a blank, 1 after a blank
+        joined = lambda c, blank, other: F.when(c.rlike(blank), 1.0).when(c.rlike(other), 2.0).otherwise(0.0)
+        left, right = F.substring(t, F.greatest(s - 1, F.lit(1)), F.least(F.lit(2), s)), F.substring(t, x["e"].cast("int") + 1, F.lit(3))
         values = {
             "kind": x["kind"].cast("double"), "digits": F.char_length(digits_of(m)).cast("double"), "chars": F.char_length(m).cast("double"), "dots": count(m, "."), "blanks": count(m, " "), "hyphens": count(m, "-"),
             "parens": count(m, "()"), "plus": flag(m.startswith("+")), "luhn": flag(F.when(x["kind"] == 2, luhn(m)).otherwise(False)), "parts": flag(m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
             "before": around(before), "after": around(F.substring(t, x["e"].cast("int") + 1, F.lit(1))), **{k: flag(window.rlike(p)) for k, p in _CONTEXT.items()},
             "groups": F.size(F.split(m, "[^0-9]+")).cast("double"), "alphas": F.char_length(F.regexp_replace(m, r"[^\p{L}]", "")).cast("double"), "slashes": count(m, "/:"),
+            "left": joined(left, r"[0-9]\x20$", r"[0-9][().:/-]$|\)\x20$"), "right": joined(right, r"^\x20\(?[0-9]", r"^[().:/-]\x20?[0-9]"),
         }
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.array(*[values[f] for f in FEATURES]).alias("x"))
 
     return out.withColumn("_candidates", proposed).withColumn("_candidates", F.transform("_candidates", features))
 
 
-def snippets(n: int = SNIPPETS, seed: int = SEED) -> list[tuple[int, str, int, int, int]]:
-    """(number, text, start, end, kind) of made-up lines: personal data in usual formats, and numbers that are none (kind -1)."""
+def snippets(n: int = SNIPPETS, seed: int = SEED) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(number, text, (start, end, kind) of each) of made-up lines: personal data in usual formats and numbers that are none, alone or side by side."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9)))
@@ -168,15 +203,24 @@ def snippets(n: int = SNIPPETS, seed: int = SEED) -> list[tuple[int, str, int, i
         body = [mail, lambda: ip(255), lambda: card(True), phone][k]() if k >= 0 else r.choice(none)()
         context = r.choice(lead[KINDS[k]]) if k >= 0 and r.random() < 0.4 else word()
         text = " ".join([*(word() for _ in range(r.randint(0, 6))), context, ""])
-        out.append((i, text + body + r.choice(["", ".", ",", "!!"]) + " " + word(), len(text), len(text) + len(body), max(k, -1)))
+        own = []
+        for at in range(r.choice([1, 1, 1, 2, 3])):  # the others stand beside it
+            if at:
+                k = r.randint(-len(KINDS), len(KINDS) - 1)
+                body, text = [mail, lambda: ip(255), lambda: card(True), phone][k]() if k >= 0 else r.choice(none)(), text + " "
+            if k >= 0:
+                own.append((len(text), len(text) + len(body), k))
+            text += body
+        out.append((i, text + r.choice(["", ".", ",", "!!"]) + " " + word(), own))
     return out
 
 
 def train(spark: SparkSession, n: int = SNIPPETS) -> tuple[boost.Trees, list[float]]:
     """Trees and a threshold for each kind: the least score with PRECISION on the held-out fifth."""
     made = snippets(n)
-    rows = with_candidates(with_base(spark.createDataFrame(made, "i int, text string, a bigint, b bigint, k int")))
-    got = rows.select("i", F.explode("_candidates").alias("c"), "a", "b", "k").select("i", F.when((F.col("c.s") == F.col("a")) & (F.col("c.e") == F.col("b")) & (F.col("c.kind") == F.col("k")), 1).otherwise(0), "c.x", "c.kind", F.col("c.s"), F.col("c.e")).collect()
+    rows = with_candidates(with_base(spark.createDataFrame(made, "i int, text string, own array<struct<a:bigint,b:bigint,k:int>>")))
+    is_one = F.exists("own", lambda o: (F.col("c.s") == o["a"]) & (F.col("c.e") == o["b"]) & (F.col("c.kind") == o["k"]))
+    got = rows.select("i", F.explode("_candidates").alias("c"), "own").select("i", F.when(is_one, 1).otherwise(0), "c.x", "c.kind", F.col("c.s"), F.col("c.e")).collect()
     got = sorted((r[0], r[3], r[4], r[5], r[1], list(r[2])) for r in got)
     x, y, i, kind = np.array([r[5] for r in got]), np.array([r[4] for r in got], float), np.array([r[0] for r in got]), np.array([r[1] for r in got])
     late = i >= 0.8 * n
