@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,9 @@ STEP_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="loom-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    """The cluster's shared folder. Where none is named, a folder under the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/loom-checkpoints").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,6 +51,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rowed(docs: DataFrame, **parts: Column) -> DataFrame:
+    """docs as one struct column, _row, beside the named columns: no name of docs can clash with these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in parts.items()])
+
+
+def unrowed(names: list[str]) -> list[Column]:
+    """The columns of rowed(), by name."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in names]
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(sizes: Column, step: int = 128) -> Column:
+    """The sum of the numbers before each place of an array, by blocks of `step`, so that long arrays stay cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def places(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / step).cast("int")), lambda b: total(F.slice(a, b * step + 1, F.lit(step))))
+        sums = lambda block: F.transform(block, lambda _, i: total(F.slice(block, F.lit(1), i)))
+        place = lambda before: F.transform(a, lambda _, i: F.get(before, F.floor(i / step).cast("int")) + total(F.slice(a, F.floor(i / step).cast("int") * step + 1, i % step)))
+        return once(blocks, lambda b: once(sums(b), place))
+
+    return once(sizes, places)
+
+
+def upper_bound(ordered: Column, goes_on: Callable[[Column], Column]) -> Column:
+    """How many of the first values of an array hold goes_on, which holds for none after one without it: by halving."""
+    bits = F.ceil(F.log2(F.greatest(F.size(ordered), F.lit(1)) + F.lit(1))).cast("int")
+
+    def one(lo: Column, i: Column) -> Column:
+        at = lo + F.pow(F.lit(2.0), bits - 1 - i).cast("int")
+        return F.when((at <= F.size(ordered)) & goes_on(F.get(ordered, at - 1)), at).otherwise(lo)
+
+    return F.aggregate(F.sequence(F.lit(0), bits - 1), F.lit(0), one)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -132,7 +169,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     state = lambda e: e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
+    def round_of(rows: DataFrame) -> tuple[DataFrame, str]:
+        path = new_folder(spark, "edges")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), path
+
+    now, path = round_of(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while (size := tuple(state(now))) != before and size[0]:
         before = size
@@ -141,5 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        old = path
+        now, path = round_of(small)
+        drop_folder(spark, old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

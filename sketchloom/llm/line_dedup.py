@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, drop_folder, new_folder, read, written
+from .common import WS_CHARS, ascii_lower, drop_folder, new_folder, once, read, rowed, unrowed, upper_bound, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -81,10 +81,10 @@ class Runs:
 
 
 def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): the keys that a document loses, for those that lose any."""
+    """(doc_id, keys): the keys that a document loses, in order, for those that lose any."""
     spark = docs.sparkSession
     # one row for a key of a document, however often its rows or lines repeat it
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(keys_of(F.col("text")), lambda k: k.isNotNull()))).alias("k")).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "k.h", "k.g").distinct()
+    found = docs.select("doc_id", F.explode(F.filter(keys_of(F.col("text")), lambda k: k.isNotNull())).alias("k")).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "k.h", "k.g").distinct()
     bounds = sorted(set(docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []))
     number = F.lit(0)  # of a row's batch: 0 holds the largest ids
     for i, b in reversed(list(enumerate(bounds))):
@@ -97,7 +97,7 @@ def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS) ->
         runs.add(table.where(F.col("batch") == b).groupBy("h", "g").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")))
     # a table of its own, so that the planner can split a hot key's lines in the join
     hot = written(runs.total().where(F.col("docs") >= min_docs).select("h", "g", "owner"), "hot")
-    return table.select("doc_id", "h", "g").join(hot, ["h", "g"]).where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("keys"))
+    return table.select("doc_id", "h", "g").join(hot, ["h", "g"]).where("doc_id <> owner").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("h", "g"))).alias("keys"))
 
 
 def deduplicated(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -110,17 +110,20 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DO
     a doc_id count as one document below all others. Columns of docs with a name of the
     result's are replaced.
     """
-    lost = drops(docs, batches, min_docs).select(F.col("doc_id").alias("_of"), F.col("keys").alias("_lost"))
-    out = docs.join(lost, F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.col("_of"), "left").drop("_of")
-    lines = F.arrays_zip(lines_of(F.col("text")).alias("line"), keys_of(F.col("text")).alias("key"))
-    kept = F.transform(F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains(F.col("_lost"), x["key"])), lambda x: x["line"])
-    every = lines_of(F.col("text"))
-    out = out.withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
+    lost = drops(docs, batches, min_docs).withColumnRenamed("doc_id", "_of")
+    rows = rowed(docs, _id=F.coalesce(F.col("doc_id"), F.lit(-(2**63))), _text=F.coalesce(F.col("text"), F.lit("")))
+    out = rows.join(lost, F.col("_id") == F.col("_of"), "left")
+    # a line goes if its key is the last of the lost ones that are not above it
+    gone = lambda key: once(upper_bound(F.col("keys"), lambda x: x <= key), lambda n: (n > 0) & (F.get("keys", n - 1) == key))
+    lines = F.arrays_zip(lines_of(F.col("_text")).alias("line"), keys_of(F.col("_text")).alias("key"))
+    kept = F.transform(F.filter(lines, lambda x: x["key"].isNull() | ~gone(x["key"])), lambda x: x["line"])
+    out = out.withColumn("_kept", F.when(F.col("keys").isNotNull(), kept)).withColumn("_many", F.size(lines_of(F.col("_text"))))
+    none = F.col("keys").isNull()
     return out.select(
-        *[c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
-        F.size(every).cast("long").alias("n_lines"),
-        F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n")).alias("kept_text"),
+        *unrowed([c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]),
+        F.col("_many").cast("long").alias("n_lines"),
+        F.when(none, F.lit(0)).otherwise(F.col("_many") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(none, F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias("kept_text"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import read
+from .common import once, read, rowed, running, unrowed, upper_bound
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Each starts where a run of its first characters starts or where the last
@@ -37,29 +37,32 @@ _CONTEXT = {"ctx_card": "card|visa|credit|cc:", "ctx_phone": "tel|phone|call|fax
 SNIPPETS, PRECISION, SEED = 4_000, 0.995, 4
 #: A group with the separators after it (a parenthesis before digits goes with them), and the most digits of a candidate.
 GROUP, LONGEST = r"[+(]?[0-9]++[\x20().:/-]{0,2}?(?=\(?[0-9]|$)", 19
-_STEP = 64
+#: Code points of a chunk: a substring is found from its string's start, so contexts are cut from short chunks.
+CHUNK = 128
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as array of (s, e, m): code points from, to (exclusive), the match."""
-    m, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.struct(m.alias("m"), F.transform(m, lambda x, i: F.char_length(F.get(rest, i)) + F.when(i > 0, F.char_length(F.get(m, i - 1))).otherwise(0)).alias("gap"))
+    """Matches of a pattern as array of (s, e, m): code points from, to (exclusive), the match; in linear time."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("rest"))
+    size = lambda x: F.char_length(x)
 
+    def placed(x: Column) -> Column:
+        gaps = F.transform(x["m"], lambda m, i: size(F.get(x["rest"], i)) + size(m))
+        spot = lambda before: F.transform(x["m"], lambda m, i: once(F.get(before, i) + size(F.get(x["rest"], i)), lambda a: F.struct(a.cast("long").alias("s"), (a + size(m)).cast("long").alias("e"), m.alias("m"))))
+        return F.when(F.size(x["m"]) > 0, once(running(gaps), spot))
 
-def placed(hit: Column) -> Column:
-    """(s, e, m) of found(): sums of gaps, by steps of _STEP so that many matches stay cheap."""
-    gap, m = hit["gap"], hit["m"]
-    add = lambda a, x: a + x
-    total = lambda a: F.aggregate(a, F.lit(0), add)
-    blocks = F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor(F.size(m) / _STEP).cast("int")), lambda b: total(F.slice(gap, b * _STEP + 1, F.lit(_STEP))))
-    prefix = F.transform(blocks, lambda x, i: total(F.slice(blocks, F.lit(1), i)))
+    return once(both, placed)
 
-    def place(x: Column, i: Column) -> Column:
-        block = F.floor(i / _STEP).cast("int")
-        start = F.get(prefix, block) + total(F.slice(gap, block * _STEP + 1, i - block * _STEP + 1))
-        return F.struct(start.cast("long").alias("s"), (start + F.char_length(x)).cast("long").alias("e"), x.alias("m"))
 
-    return F.transform(m, place)
+def chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(chunks: Column, start: Column, many: Column | int) -> Column:
+    """`many` code points, CHUNK at most, from `start` (from 0) on."""
+    at = F.floor(start / CHUNK).cast("int")
+    near = F.concat(F.get(chunks, at), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substring(F.coalesce(near, F.lit("")), (start % CHUNK + 1).cast("int"), many if isinstance(many, Column) else F.lit(many))
 
 
 def digits_of(m: Column) -> Column:
@@ -92,14 +95,14 @@ _NONE = "array<struct<s:bigint,e:bigint,m:string>>"
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, _text (null as empty) and for each kind its base spans in _<kind>, each (s, e, m)."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    """_row (docs as a struct), _text (null as empty) and for each kind its base spans in _<kind>, each (s, e, m)."""
+    out = rowed(docs, _text=F.coalesce(F.col(text), F.lit("")))
     t = F.col("_text")
     gate = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": t.contains("+")}
     for k in KINDS:
         out = out.withColumn(f"_{k}", F.when(gate[k], found(t, BASE[k])))
     for k in KINDS:
-        out = out.withColumn(f"_{k}", F.coalesce(F.filter(F.when(F.size(F.col(f"_{k}.m")) > 0, placed(F.col(f"_{k}"))), _valid_match(k)), F.array().cast(_NONE)))
+        out = out.withColumn(f"_{k}", F.coalesce(F.filter(F.col(f"_{k}"), _valid_match(k)), F.array().cast(_NONE)))
     return out
 
 
@@ -109,16 +112,15 @@ def sub_runs(runs: Column) -> Column:
     A sub-run starts at its first group's plus or parenthesis and ends at its last digit.
     """
 
-    def cut(x: Column) -> Column:
-        once = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  value is computed once
-        starts = lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), F.array(F.lit(0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(y))))
-        at = once(F.regexp_extract_all(x["m"], F.lit(GROUP), F.lit(0)), lambda g: F.zip_with(g, starts(g), lambda m, s: F.struct(m.alias("m"), s.alias("s"))))
+    def of_run(x: Column) -> Column:
+        placed = lambda g: once(running(F.transform(g, lambda y: F.char_length(y))), lambda p: F.zip_with(g, p, lambda m, s: F.struct(m.alias("m"), s.alias("s"))))
+        at = once(F.regexp_extract_all(x["m"], F.lit(GROUP), F.lit(0)), placed)
 
         def sub(groups: Column) -> Column:
             def upto(some: Column) -> Column:
                 m = F.regexp_replace(F.array_join(F.transform(some, lambda g: g["m"]), ""), r"[^0-9]+$", "")
                 s = x["s"] + F.get(some, 0)["s"]
-                return F.struct(s.alias("s"), (s + F.char_length(m)).alias("e"), m.alias("m"))
+                return once(m, lambda m: F.struct(s.alias("s"), (s + F.char_length(m)).alias("e"), m.alias("m")))
 
             def from_group(_: Column, i: Column) -> Column:
                 near = lambda some: F.transform(F.sequence(F.lit(1), F.size(some)), lambda j: upto(F.slice(some, F.lit(1), j)))
@@ -128,7 +130,7 @@ def sub_runs(runs: Column) -> Column:
 
         return once(at, sub)
 
-    return F.flatten(F.transform(runs, cut))
+    return F.flatten(F.transform(runs, of_run))
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     at = t.contains("@") | t.rlike(r"(?i)[\[(]at[\])]")
     out = docs.withColumn("_mails", F.when(at, found(t, "(?i)" + MAIL_LIKE))).withColumn("_digits", F.when(t.rlike("[0-9]"), found(t, DIGITS_LIKE)))
     for c in ("_mails", "_digits"):
-        out = out.withColumn(c, F.coalesce(F.when(F.size(F.col(f"{c}.m")) > 0, placed(F.col(c))), F.array().cast(_NONE)))
+        out = out.withColumn(c, F.coalesce(F.col(c), F.array().cast(_NONE)))
     out = out.withColumn("_digits", sub_runs(F.col("_digits")))
     as_kind = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(KINDS.index(k)).alias("kind"))
     n = lambda x: F.char_length(digits_of(x["m"]))
@@ -148,26 +150,29 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         F.transform(F.filter("_digits", lambda x: n(x).between(7, 15)), as_kind("phone")),
     )
     count = lambda m, c: (F.char_length(m) - F.char_length(F.translate(m, c, ""))).cast("double")
+    chunks = F.col("_chunks")
 
     def features(x: Column) -> Column:
         m, s = x["m"], x["s"].cast("int")
         around = lambda c: F.when(c == "", 0.0).when(c.rlike(r"[\s]"), 0.0).when(c.rlike(r"[\p{L}]"), 2.0).when(c.rlike("[0-9]"), 3.0).otherwise(1.0)
-        before = F.when(s > 0, F.substring(t, s, F.lit(1))).otherwise("")
-        window = F.lower(F.substring(t, F.greatest(s - 23, F.lit(1)), F.least(F.lit(24), s)))
+        before = F.when(s > 0, cut(chunks, s - 1, 1)).otherwise("")
+        window = F.lower(cut(chunks, F.greatest(s - 24, F.lit(0)), F.least(F.lit(24), s)))
         flag = lambda c: F.when(c, 1.0).otherwise(0.0)
         # digits that stand next: 2 after a separator other than a blank, 1 after a blank
         joined = lambda c, blank, other: F.when(c.rlike(blank), 1.0).when(c.rlike(other), 2.0).otherwise(0.0)
-        left, right = F.substring(t, F.greatest(s - 1, F.lit(1)), F.least(F.lit(2), s)), F.substring(t, x["e"].cast("int") + 1, F.lit(3))
+        left, right = cut(chunks, F.greatest(s - 2, F.lit(0)), F.least(F.lit(2), s)), cut(chunks, x["e"].cast("int"), 3)
         values = {
             "kind": x["kind"].cast("double"), "digits": F.char_length(digits_of(m)).cast("double"), "chars": F.char_length(m).cast("double"), "dots": count(m, "."), "blanks": count(m, " "), "hyphens": count(m, "-"),
             "parens": count(m, "()"), "plus": flag(m.startswith("+")), "luhn": flag(F.when(x["kind"] == 2, luhn(m)).otherwise(False)), "parts": flag(m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
-            "before": around(before), "after": around(F.substring(t, x["e"].cast("int") + 1, F.lit(1))), **{k: flag(window.rlike(p)) for k, p in _CONTEXT.items()},
+            "before": around(before), "after": around(cut(chunks, x["e"].cast("int"), 1)), **{k: flag(window.rlike(p)) for k, p in _CONTEXT.items()},
             "groups": F.size(F.split(m, "[^0-9]+")).cast("double"), "alphas": F.char_length(F.regexp_replace(m, r"[^\p{L}]", "")).cast("double"), "slashes": count(m, "/:"),
             "left": joined(left, r"[0-9]\x20$", r"[0-9][().:/-]$|\)\x20$"), "right": joined(right, r"^\x20\(?[0-9]", r"^[().:/-]\x20?[0-9]"),
         }
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.array(*[values[f] for f in FEATURES]).alias("x"))
 
-    return out.withColumn("_candidates", proposed).withColumn("_candidates", F.transform("_candidates", features))
+    out = out.withColumn("_candidates", proposed)
+    out = out.withColumn("_chunks", F.when(F.size("_candidates") > 0, chunked(t)))
+    return out.withColumn("_candidates", F.transform("_candidates", features))
 
 
 def snippets(n: int = SNIPPETS, seed: int = SEED) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
@@ -219,8 +224,10 @@ def train(spark: SparkSession, n: int = SNIPPETS) -> tuple[boost.Trees, list[flo
     """Trees and a threshold for each kind: the least score with PRECISION on the held-out fifth."""
     made = snippets(n)
     rows = with_candidates(with_base(spark.createDataFrame(made, "i int, text string, own array<struct<a:bigint,b:bigint,k:int>>")))
-    is_one = F.exists("own", lambda o: (F.col("c.s") == o["a"]) & (F.col("c.e") == o["b"]) & (F.col("c.kind") == o["k"]))
-    got = rows.select("i", F.explode("_candidates").alias("c"), "own").select("i", F.when(is_one, 1).otherwise(0), "c.x", "c.kind", F.col("c.s"), F.col("c.e")).collect()
+    own = F.col("_row.own")
+    is_one = F.exists(own, lambda o: (F.col("c.s") == o["a"]) & (F.col("c.e") == o["b"]) & (F.col("c.kind") == o["k"]))
+    # an outer explode: for a plain one the planner would infer a filter and compute the candidates twice
+    got = rows.select("_row", F.explode_outer("_candidates").alias("c")).where("c is not null").select("_row.i", F.when(is_one, 1).otherwise(0), "c.x", "c.kind", F.col("c.s"), F.col("c.e")).collect()
     got = sorted((r[0], r[3], r[4], r[5], r[1], list(r[2])) for r in got)
     x, y, i, kind = np.array([r[5] for r in got]), np.array([r[4] for r in got], float), np.array([r[0] for r in got]), np.array([r[1] for r in got])
     late = i >= 0.8 * n
@@ -265,13 +272,16 @@ def spans(docs: DataFrame, model: tuple[boost.Trees, list[float]] | None = None)
     numbered = lambda i: lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
     base = F.concat(*[F.transform(f"_{k}", numbered(i)) for i, k in enumerate(KINDS)])
     rows = rows.withColumn("_base", F.array_sort(base)).withColumn("_scored", F.transform("_candidates", lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("k"), c["e"].alias("e"), compiled(model, c["x"]).alias("z"))))
-    cut = lambda k: F.get(F.array(*[F.lit(float(c)) for c in cuts]), k)
-    free = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    added = F.filter("_scored", lambda c: (c["z"] >= cut(c["k"])) & free(c))
+    bar = lambda k: F.get(F.array(*[F.lit(float(c)) for c in cuts]), k)
+    # spans of one kind lie one after another: only the last that starts before a candidate's end can meet it
+    meets = lambda own, c: once(upper_bound(own, lambda b: b["s"] < c["e"]), lambda n: (n > 0) & (F.get(own, n - 1)["e"] > c["s"]))
+    free = lambda c: ~(meets(F.col("_email"), c) | meets(F.col("_ip"), c) | meets(F.col("_card"), c) | meets(F.col("_phone"), c))
+    added = F.filter("_scored", lambda c: (c["z"] >= bar(c["k"])) & free(c))
     rows = rows.withColumn("_added", F.transform(added, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
     named = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]).alias("kind")))
+    every = F.when(F.size("_added") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_added")))
     new = ["n_" + k for k in KINDS] + ["base", "spans"]
-    return rows.select(*[c for c in docs.columns if c not in new], *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], named(F.col("_base")).alias("base"), named(F.array_sort(F.array_union("_base", "_added"))).alias("spans"))
+    return rows.select(*unrowed([c for c in docs.columns if c not in new]), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], named(F.col("_base")).alias("base"), named(every).alias("spans"))
 
 
 def digest(a: Column) -> Column:
