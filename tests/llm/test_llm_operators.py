@@ -216,7 +216,7 @@ def test_pii(spark, odd, none):
 def test_pii_side_by_side(spark):
     texts = ["415-555-2671 (415) 555-2672", "415-555-2671 2024-01-02", "call 10.20.30.40 415-555-2671 now", "1 " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    rows = pii.with_candidates(pii.with_base(df)).select("doc_id", F.transform("_candidates", lambda c: F.struct(c["s"], c["e"], c["kind"])).alias("c")).collect()
+    rows = pii.with_candidates(pii.with_base(df)).select("_row.doc_id", F.transform("_candidates", lambda c: F.struct(c["s"], c["e"], c["kind"])).alias("c")).collect()
     got = {(r["doc_id"], pii.KINDS[k], texts[r["doc_id"]][s:e]) for r in rows for s, e, k in r["c"]}
     assert {(0, "phone", "415-555-2671"), (0, "phone", "(415) 555-2672"), (1, "phone", "415-555-2671"), (2, "phone", "415-555-2671"), (2, "ip", "10.20.30.40")} <= got
     assert all(7 <= len(re.sub("[^0-9]", "", m)) <= 19 for _, k, m in got if k in ("card", "phone"))
