@@ -161,6 +161,17 @@ def spanning(mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.n
     return a[keep], b[keep]
 
 
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that links reach, from `label` (as this returns it) and further links between places a and b."""
+    while (differ := label[a] != label[b]).any():
+        x, y = label[a[differ]], label[b[differ]]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that links reach, for every node with a link.
 

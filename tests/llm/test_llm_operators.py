@@ -434,7 +434,8 @@ def test_fingerprints(docs, odd, none):
     assert sorted(x for x in left if x is not None) == [1, 2, 4, 6, 7] and left.count(None) == 1
 
 
-def test_trees_find_all_pairs(spark):
+@pytest.mark.parametrize("few, many, part", [(1 << 24, 1 << 30, 4096), (1 << 24, 1 << 30, 40), (1, 1 << 30, 300), (1, 2, 4096)])
+def test_trees_find_all_pairs(spark, monkeypatch, few, many, part):
     r = random.Random(9)
     fps = [r.getrandbits(64) for _ in range(1500)]
     for _ in range(1500):
@@ -442,11 +443,15 @@ def test_trees_find_all_pairs(spark):
         for _ in range(r.randint(0, 6)):
             x ^= 1 << r.randint(0, 63)
         fps.append(x)
+    fps += [fps[0] ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(i)]  # a dense group: its parts are dealt in tiles
     fps = np.array(sorted(set(fps)), np.uint64)
+    monkeypatch.setattr(simhash_vp, "FEW", few), monkeypatch.setattr(simhash_vp, "MANY", many)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint").repartition(6)
-    trees = simhash_vp.plant(df.withColumn("x", F.lit(1)), sample=800)
-    assert all(t.leaves > 4 for t in trees[1:])
-    got = {x["node"]: x["component"] for x in components(simhash_vp.links(df, trees)).collect()}
+    trees = simhash_vp.plant(df, len(fps), sample=800, leaf=100)
+    assert all(t.leaves > 4 and t.radius == 1 for t in trees)
+    visits = [sum(len(rows) for _, rows in t.route(fps, 1)) for t in trees]
+    assert sum(visits) < 0.6 * sum(t.leaves for t in trees) * len(fps)  # the triangle bound prunes
+    got = {x["node"]: x["component"] for x in components(simhash_vp.links(df, trees, len(fps), part=part)).collect()}
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     label = np.arange(len(fps))
     for _ in range(60):
@@ -457,6 +462,16 @@ def test_trees_find_all_pairs(spark):
     assert pairs(mine) == pairs([int(own[k]) for k in label])
 
 
+def test_views_cover_every_pair():
+    r = random.Random(4)
+    for n in (10, simhash_vp.FEW + 1, simhash_vp.MANY + 1):
+        for radius in (2, 3, 4, 6):
+            views = simhash_vp.views_for(n, radius)
+            for _ in range(300):
+                x = sum(1 << b for b in r.sample(range(64), radius))
+                assert any((x & mask).bit_count() <= own for mask, own in views)
+
+
 def test_stage_drops_near_copies(spark):
     r = random.Random(11)
     rows = []
