@@ -52,8 +52,11 @@ class Index:
         a, b = self.halves(x)
         k = a.shape[1], b.shape[1]
         many = min(many, k[0] * k[1])
+        if many == k[0] * k[1]:  # all cells
+            return (a[:, :, None] + b[:, None, :]).reshape(len(x), -1).argsort(1, kind="stable")
         oa, ob = a.argsort(1, kind="stable")[:, :many], b.argsort(1, kind="stable")[:, :many]
-        i, j = (np.array(v) for v in zip(*[(i, j) for i in range(oa.shape[1]) for j in range(ob.shape[1]) if (i + 1) * (j + 1) <= many]))
+        i = np.repeat(np.arange(oa.shape[1]), [min(many // (i + 1), ob.shape[1]) for i in range(oa.shape[1])])
+        j = np.concatenate([np.arange(min(many // (i + 1), ob.shape[1])) for i in range(oa.shape[1])])
         total = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
         top = total.argsort(1, kind="stable")[:, :many]
         rows = np.arange(len(x))[:, None]
@@ -82,17 +85,21 @@ def fit(x: np.ndarray, n: int, cosine: float = COSINE, target: float = TARGET_RE
     k = int(np.clip(np.ceil(n**0.25), 2, MOST_CENTRES))
     h = x.shape[1] // 2
     index = Index(_centres(x[:, :h], k, rng), _centres(x[:, h:], k, rng), 1)
-    own = x[rng.choice(len(x), min(len(x), 2000), replace=False)]
+    own = x[rng.choice(len(x), 2000, replace=len(x) < 2000)]
     side = rng.normal(size=own.shape)
     side -= (side * own).sum(1, keepdims=True) * own
     side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
     c = rng.uniform(cosine, 1, (len(own), 1))
     home = index.home(own * c + side * np.sqrt(1 - c * c))
-    most = min(128, k * k)
-    at = index.order(own, most) == home[:, None]
-    rank = np.where(at.any(1), at.argmax(1), most)
-    index.visits = int(min(most, np.quantile(rank, target, method="higher") + 1))
-    return index
+    most = 128
+    while True:  # ever more of the sequence, until enough of the neighbours are met
+        step = max(1, (1 << 22) // most)
+        met = [index.order(own[a : a + step], most) == home[a : a + step, None] for a in range(0, len(own), step)]
+        rank = np.concatenate([np.where(m.any(1), m.argmax(1), most) for m in met])
+        index.visits = int(np.quantile(rank, target, method="higher")) + 1
+        if index.visits <= min(most, k * k):
+            return index
+        most *= 4
 
 
 def usable(e: Column) -> Column:
@@ -146,7 +153,8 @@ def links(vectors: DataFrame, index: Index, cosine: float = COSINE) -> tuple[Dat
                             for i in range(h):
                                 rows.append(r), cell.append(c), tile.append(i * q + spread[r] % q), is_home.append(False)
                 at = pa.array(rows, pa.int64())
-                seen = pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())).take(at)
+                # only a home is asked which cells it visits itself
+                seen = pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())).take(pa.array(rows, pa.int64(), mask=~np.array(is_home)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.int32)), pa.array(np.array(tile, np.int32)), pa.array(is_home), pa.array(home[rows].astype(np.int32)), seen, part.column(0).take(at), part.column(1).take(at), part.column(2).take(at)], names=["cell", "tile", "is_home", "home", "seen", "id", "embedding", "copies"])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -154,13 +162,13 @@ def links(vectors: DataFrame, index: Index, cosine: float = COSINE) -> tuple[Dat
         is_home, home, ids, copies = (table.column(c).to_numpy() for c in ("is_home", "home", "id", "copies"))
         x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        seen = table.column("seen").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         h, q = np.flatnonzero(is_home), np.flatnonzero(~is_home)
+        seen = table.column("seen").combine_chunks().flatten().to_numpy().reshape(len(h), -1)
         total = np.zeros(len(ids), np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for cell in np.unique(home[q]):
             own = q[home[q] == cell]
-            back = (seen[h] == cell).any(1)  # these visit the visitors' home themselves
+            back = (seen == cell).any(1)  # these visit the visitors' home themselves
             for at in range(0, len(own), 512):
                 part = own[at : at + 512]
                 near = (x[part] @ x[h].T >= cosine) & (ids[part][:, None] != ids[h][None, :])
@@ -174,7 +182,8 @@ def links(vectors: DataFrame, index: Index, cosine: float = COSINE) -> tuple[Dat
         n = len(pairs) + len(got)
         return pa.table({"id": np.concatenate([pairs[:, 0], ids[got]]), "other": pa.array(np.concatenate([pairs[:, 1], np.zeros(len(got), np.int64)]), mask=np.arange(n) >= len(pairs)), "n": np.concatenate([np.zeros(len(pairs), np.int64), total[got]])})
 
-    dealt = vectors.select("id", "embedding", "copies").mapInArrow(deal, "cell int, tile int, is_home boolean, home int, seen array<int>, id bigint, embedding array<double>, copies bigint")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    dealt = vectors.select("id", "embedding", "copies").mapInArrow(deal, f"cell int, tile int, is_home boolean, home int, seen array<int>, id bigint, embedding {kind}, copies bigint")
     met = written(dealt.groupBy("cell", "tile").applyInArrow(compare, "id bigint, other bigint, n bigint"), "met")
     return met.where("other is null").groupBy("id").agg(F.sum("n").alias("n")), met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
@@ -182,33 +191,36 @@ def links(vectors: DataFrame, index: Index, cosine: float = COSINE) -> tuple[Dat
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and vectors
-    of another length than the most common, link with nothing. Equal vectors are one
-    vector with copies and link with each other; rows of one vec_id are rows of their own
-    (each counts the others). Rows without a vec_id link too, but name no component.
-    An empty table gives no rows.
+    Vectors that are null, empty, zero or hold null or non-finite components link with
+    nothing; vectors of one length are indexed and compared among themselves. Equal vectors
+    are one vector with copies and link with each other; rows of one vec_id are rows of
+    their own (each counts the others). Rows without a vec_id link too, but name no
+    component. An empty table gives no rows.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    good = rows.where(usable(F.col("embedding")))
-    usual = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = usual[0] if usual else 0
-    fits = usable(F.col("embedding")) & (F.size("embedding") == dims)
+    # floats travel as floats; a comparison makes them doubles
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("embedding"))
+    good = F.coalesce(usable(F.col("embedding")), F.lit(False))
+    out = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = rows.where(good).select(F.size("embedding")).distinct().collect()  # one index for each length: few
+    for dims in sorted(r[0] for r in lengths):
+        out = out.unionByName(_of_length(rows.where(good & (F.size("embedding") == dims)), dims, cosine, sample))
+    return out
+
+
+def _of_length(rows: DataFrame, dims: int, cosine: float, sample: int) -> DataFrame:
     # equal vectors: one row; its number is a place in a table that stays as written
-    groups = written(rows.where(fits).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vectors")
+    groups = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vectors")
     groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "numbered")
     own = groups.orderBy(F.xxhash64("embedding"), "least").select("embedding").limit(sample)
-    x = np.array([r[0] for r in own.collect()], float).reshape(-1, max(dims, 1))
-    alone = rows.where(~F.coalesce(fits, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not len(x):
-        return alone
+    x = np.array([r[0] for r in own.collect()], float).reshape(-1, dims)
     index = fit(x / np.linalg.norm(x, axis=1, keepdims=True), groups.count(), cosine)
     counts, edges = links(groups, index, cosine)
     reach = components(edges).withColumnRenamed("node", "id")
     of = groups.join(reach, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.join(least, "component").join(counts, "id", "left").select("embedding", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.where(fits).join(of, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
-    return linked.unionByName(alone)
+    return rows.join(of, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

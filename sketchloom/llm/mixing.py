@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CLASS, read, written
+from .common import WORD, WS_CLASS, read, rowed, unrowed, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -27,7 +27,8 @@ ROUNDS = 12
 SEED = 6
 #: Distinct sources that the driver weighs, at most: their list is the one thing it collects.
 MOST_SOURCES = 200_000
-SALT_ROWS = 50_000
+#: Rows of one source that one window takes, about, and windows that a source is dealt to at least.
+SALT_ROWS, LEAST_SALTS = 50_000, 128
 
 
 def weighed(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> list[float]:
@@ -99,7 +100,7 @@ def laid_out(docs: DataFrame) -> tuple[DataFrame, list[tuple[str | None, int]]]:
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sources = sorted(((r[0], int(r[1])) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
-    salts = max(16, -(-max([r[2] for r in totals], default=0) // SALT_ROWS))
+    salts = max(LEAST_SALTS, -(-max([r[2] for r in totals], default=0) // SALT_ROWS))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(salts)))
     before = salted.groupBy("source", "salt").agg(F.sum("size").alias("all")).withColumn("before", F.sum("all").over(Window.partitionBy("source").orderBy("salt")) - F.col("all"))
     own = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -164,19 +165,17 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     # repeated rows meet each other's spans: number them alike on both sides
     same = Window.partitionBy("_id", "_tie", "_source").orderBy("_spans")
     picked = picked.withColumn("_nth", F.row_number().over(same))
-    base = docs.withColumn("_tie", F.xxhash64("text"))
-    base = base.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie", "source").orderBy("_tie")))
-    joined = base.alias("d").join(picked.alias("p"), F.expr("d.doc_id <=> p._id AND d._tie = p._tie AND d.source <=> p._source AND d._nth = p._nth"))
+    base = rowed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), tie=F.xxhash64("text"))
+    base = base.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tie", "source").orderBy("tie")))
+    joined = base.alias("d").join(picked.alias("p"), F.expr("d.doc_id <=> p._id AND d.tie = p._tie AND d.source <=> p._source AND d.nth = p._nth"))
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"([{WS_CLASS}]*{WORD})"), F.lit(1))
     # the words are split below the explode: above it they would be split anew for each span
-    joined = joined.select(*[F.col(f"d.{c}") for c in docs.columns], "_spans", words.alias("_words"))
+    joined = joined.select("_row", "_spans", words.alias("_words"))
     joined = joined.select("*", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda x: x["times"])))).alias("_copy"))
     own = F.flatten(F.transform(F.filter("_spans", lambda x: x["times"] >= F.col("_copy")), lambda x: F.slice(F.col("_words"), x["start"].cast("int") + 1, x["words"].cast("int"))))
-    text = F.ltrim(F.array_join(own, ""))
-    made = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.char_length("text").cast("long"))
-    return made.select(docs.columns)
+    made = joined.select("_row", F.ltrim(F.array_join(own, "")).alias("_new"))
+    new = {"text": F.col("_new").alias("text"), "n_chars": F.char_length("_new").cast("long").alias("n_chars")}
+    return made.select(*[new.get(c, old) for c, old in zip(docs.columns, unrowed(docs.columns))])
 
 
 def op6_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

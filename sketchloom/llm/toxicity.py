@@ -2,7 +2,8 @@
 
 One weight vector serves all ordered thresholds: P(grade > k) = sigmoid(w . x - cut[k]).
 Features are a document's words and word starts, lower-cased and stripped of marks, of
-which training keeps those that speak for toxicity beyond chance.
+which training keeps those that speak for toxicity beyond chance. A document's features
+weigh one over the root of their number, so that many do not drown the word that tells.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, read, steps, texts_of, word_ids
+from .common import bounded_sample, read, steps, texts_of, word_ids, written
 
-#: Labelled rows the model is fitted on, at most, and features it keeps, at most.
+#: Labelled rows the model is fitted on, at most, and features it keeps, at most: those with the largest z.
 MAX_TRAIN, MAX_FEATURES = 20_000, 2_000
 PREFIXES = (3, 4, 6)
 GRADES = 3
@@ -55,7 +56,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 400, ridge: float = 1e-3, rate: float = 0.5) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 400, ridge: float = 1e-4, rate: float = 0.5) -> Model:
     """Ordinal regression by gradient ascent (Adam) on the cumulative-link likelihood.
 
     Cuts are kept in order by their first value and the logarithms of their steps.
@@ -88,9 +89,10 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 400, ridge
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """A model fitted on at most `most` labelled documents outside the held-out fifth.
 
-    Labels say toxic or not; a toxic document's grade is 2 if more of its words are
-    telling features than in the median toxic document, else 1. Without both labels the
-    model finds nothing toxic.
+    Grades come from the labels alone: labels.grade (0 to GRADES - 1) where there is one,
+    else 0 for a document that is not toxic, 1 for a toxic one and 2 for a toxic one that is
+    labelled of low quality as well. Without both toxic and other documents the model finds
+    nothing toxic.
     """
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +106,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
                 out = [sorted({f for w in np.unique(ids[offsets[i] : offsets[i + 1]]) for f in owned[w]}) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "label", "names"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(labels, "toxic", most)), "doc_id").select("doc_id", "label", "text")
-    seen = picked.mapInArrow(op, "doc_id bigint, label int, names array<string>")
-    n = seen.agg(F.count("*"), F.sum("label")).first()
+    low = F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int") if "quality" in labels.columns else F.lit(0)
+    grade = F.greatest(F.lit(0), F.least(F.col("grade"), F.lit(GRADES - 1))) if "grade" in labels.columns else F.when(F.col("toxic") > 0, 1 + low).when(F.col("toxic") <= 0, 0)
+    sample = bounded_sample(labels.select("doc_id", grade.alias("grade")), "grade", most)
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    seen = written(picked.mapInArrow(op, "doc_id bigint, label int, names array<string>"), "features")
+    bad = (F.col("label") > 0).cast("int")
+    n = seen.agg(F.count("*"), F.sum(bad)).first()
     if not n[0] or not n[1] or n[0] == n[1]:
         return Model()
     share = n[1] / n[0]
-    counts = seen.select("label", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("all"), F.sum("label").alias("bad"))
+    counts = seen.select("label", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("all"), F.sum(bad).alias("bad"))
     z = (F.col("bad") - F.col("all") * share) / F.sqrt(F.col("all") * share * (1 - share))
     told = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).where(F.col("bad") >= F.col("all") * max(0.5, share)).orderBy(F.desc("z"), "name").limit(MAX_FEATURES).collect()
     names = [r["name"] for r in told]
@@ -123,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, [place[f] for f in r[2]]] = 1
-    toxic, many = np.array([r[1] > 0 for r in rows]), x.sum(1)
-    grade = np.where(toxic, 1 + (many > np.median(many[toxic])), 0).astype(int)
-    model = fit(x, grade, names)
+    x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
+    toxic = np.array([r[1] > 0 for r in rows])
+    model = fit(x, np.array([r[1] for r in rows]), names)
     p = model.above(x @ model.weights)[:, 0]
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(toxic[order])
@@ -163,6 +169,7 @@ def grades(docs: DataFrame, model: Model) -> DataFrame:
                     hits.append(np.stack([doc[on], told[on]], 1))
                 pairs = np.unique(np.concatenate(hits), axis=0)  # a feature counts once a document
                 np.add.at(z, pairs[:, 0], model.weights[pairs[:, 1]] if len(pairs) else 0.0)
+                z /= np.maximum(np.sqrt(np.bincount(pairs[:, 0], minlength=part.num_rows)), 1)
                 p = model.above(z)
                 whole = np.concatenate([np.ones((len(z), 1)), p, np.zeros((len(z), 1))], 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(1)), pa.array((whole[:, :-1] - whole[:, 1:]).argmax(1).astype(np.int32)), pa.array(p[:, 0] >= model.toxic_at), pa.array(p[:, 0])], names=["doc_id", "severity", "grade", "toxic", "p_toxic"])

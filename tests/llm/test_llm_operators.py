@@ -136,6 +136,60 @@ def test_toxicity(spark):
     assert not any(r["toxic"] for r in toxicity.grades(docs, toxicity.train(docs, labels.limit(0))).collect())
 
 
+def test_subword_scores_by_hand(spark, docs, labels):
+    model = quality_subword.train(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 1500").limit(25).collect()] + [(-1, "again again again"), (-2, ""), (-3, None)]
+    got = {r["doc_id"]: r["score"] for r in quality_subword.classify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    import pyarrow as pa
+
+    for i, t in rows:
+        w = words(t)
+        own = [b for x in w for b in quality_subword.subwords(pa.array([x], pa.large_string()))[1]]
+        for x in w[:5]:  # the word itself, and its n-grams with the word's bounds
+            assert len(quality_subword.subwords(pa.array([x], pa.large_string()))[1]) == 1 + sum(max(0, len(x) + 2 - n + 1) for n in quality_subword.GRAMS)
+        share = sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1)
+        mean = model.vectors[own].astype(float).mean(0) if own else np.zeros(model.vectors.shape[1])
+        mean = (mean + share * model.vectors[quality_subword.AGAIN]) / (1 + share)
+        z = mean @ model.weights.astype(float) + model.bias
+        p = np.exp(z - z.max())
+        assert got[i] == pytest.approx(p[1] / p.sum(), abs=1e-5)
+
+
+def test_toxicity_by_hand(spark, docs, labels):
+    model = toxicity.train(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 3000").limit(60).collect()] + [(-1, "You IDIOT, you stupid loser! Loser."), (-2, None)]
+    got = {r["doc_id"]: r for r in toxicity.grades(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    import regex
+
+    for i, t in rows:
+        w = [regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", x.lower()) for x in words(t)]
+        own = {"=" + x for x in w if x} | {"^" + x[:n] for x in w for n in toxicity.PREFIXES if len(x) > n}
+        at = [model.names.index(f) for f in own if f in model.names]
+        z = model.weights[at].sum() / max(1, len(at)) ** 0.5
+        above = [1 / (1 + np.exp(-(z - c))) for c in model.cuts]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert got[i]["severity"] == pytest.approx(sum(above)) and got[i]["p_toxic"] == pytest.approx(above[0])
+        assert got[i]["grade"] == int(np.argmax(each)) and got[i]["toxic"] == (above[0] >= model.toxic_at)
+
+
+def test_toxicity_grades_given(spark):
+    words_of = {0: "a fine day", 1: "you fool you", 2: "you vile scum you"}
+    rows = [(i, words_of[i % 3] + f" w{i}", i % 3) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id bigint, grade int"))
+    got = {r["doc_id"]: r for r in toxicity.grades(docs, model).collect()}
+    mean = [np.mean([got[i]["severity"] for i, _, g in rows if g == k]) for k in range(3)]
+    assert mean[0] + 0.3 < mean[1] < mean[2] - 0.3 and np.mean([got[i]["grade"] == g for i, _, g in rows]) > 0.95
+
+
+def test_toxicity_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.op2_ordinal_toxicity(spark, sf).collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert len(got) == docs.count() and np.mean([got[i] == bool(t) for i, t in known.items()]) > 0.9
+
+
 def test_toxicity_odd(odd, none):
     model = toxicity.Model(["=plain"], np.array([50.0]), np.array([1.0, 2.0]))
     got = toxicity.grades(odd, model).collect()
@@ -182,6 +236,25 @@ def test_line_sql(spark, sf):
     assert len(a) == len(b) and (a == b).all().all()
 
 
+def test_line_dedup_long_texts(spark):
+    n = 100_000
+    text = "\n".join(f"this is line number {i} of a long text with many lines" for i in range(n))
+    df = spark.createDataFrame([(i, text, i) for i in range(6)], "doc_id bigint, text string, _lost int").repartition(6)
+    got = line_dedup.deduplicated(df).select("doc_id", "n_lines", "n_dropped", F.length("kept_text"), "_lost").collect()
+    assert {tuple(r) for r in got} == {(i, n, n if i < 5 else 0, 0 if i < 5 else len(text), i) for i in range(6)}
+
+
+CLASH = ["_row", "_text", "_lost", "_of", "_kept", "_tie", "tie", "nth", "_copy", "_node", "_id", "_new", "_email", "keys"]
+
+
+def test_clashing_names(spark, docs):
+    rows = docs.limit(60).select("*", *[F.lit(7).alias(c) for c in CLASH])
+    model = pii.train(spark, 200)
+    for got in (line_dedup.deduplicated(rows), pii.spans(rows, model), mixing.sampled(rows), simhash_vp.deduplicated(spark, rows)):
+        assert [c for c in got.columns if c in rows.columns] == rows.columns
+        assert got.count() > 0 and got.where(" or ".join(f"{c} <> 7" for c in CLASH)).count() == 0
+
+
 # 4: personal data ---------------------------------------------------------------------
 
 
@@ -213,6 +286,16 @@ def test_pii(spark, odd, none):
     assert pii.spans(odd, model).count() == len(ODD) and pii.spans(none, model).count() == 0
 
 
+def test_pii_long_texts(spark):
+    n = 10_000
+    texts = [" ".join(f"user{i}@example.com" for i in range(n)), " ".join(f"10.2.{i % 256}.{i // 256} +1 415 555 {i:04d}," for i in range(n // 2)), "1 " * 1000, "é😀 x@y.co " * 2000]
+    got = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4), pii.train(spark, 300)).collect()
+    for x in got:
+        want = [(a, e, pii.KINDS[k]) for a, k, e in brute_pii(x["text"])]
+        assert [tuple(b) for b in x["base"]] == want and set(want) <= {tuple(b) for b in x["spans"]}
+        assert [tuple(b) for b in x["spans"]] == sorted((tuple(b) for b in x["spans"]), key=lambda b: (b[0], pii.KINDS.index(b[2])))
+
+
 def test_pii_side_by_side(spark):
     texts = ["415-555-2671 (415) 555-2672", "415-555-2671 2024-01-02", "call 10.20.30.40 415-555-2671 now", "1 " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
@@ -311,6 +394,24 @@ def test_mixing(docs, odd, none):
     assert mixing.mixed(none).count() == 0 and mixing.sampled(none).count() == 0 and mixing.sampled(odd).columns == odd.columns
 
 
+def test_taken_by_block_walk(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{k}" for k in range(r.randint(0, 90))), r.choice(["a", "b", "c", None])) for i in range(80)] + [(3, "again and again", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = Counter((x["doc_id"], x["size"], x["taken"]) for x in mixing.mixed(docs, block=8).collect())
+    laid, sources = mixing.laid_out(docs)
+    target, want = mixing.weighed([n for _, n in sources]), Counter()
+    for (source, n), t, k in zip(sources, target, range(len(sources))):
+        blocks = -(-n // 8)
+        slots = min(3 * blocks, round(t / (n / blocks)))
+        # each slot's block, one pass over the source after another
+        at = spark.range(slots).select(mixing.permuted(F.col("id") % blocks, F.lit(blocks).cast("long"), F.xxhash64(F.lit(mixing.SEED), F.lit(k), F.expr(f"id div {blocks}"))).alias("b")).collect()
+        times = Counter(x["b"] for x in at)
+        for d in laid.where(F.col("source").eqNullSafe(F.lit(source))).collect():
+            want[(d["doc_id"], d["size"], sum(times[w // 8] for w in range(d["begin"], d["begin"] + d["size"])))] += 1
+    assert got == want
+
+
 # 7: vectors -----------------------------------------------------------------------------
 
 
@@ -335,6 +436,8 @@ def test_vectors(spark):
     same = np.mean([got[i]["component_id"] == label[i] for i in range(len(rows))])
     assert same > 0.95 and all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(rows)))
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.0, 0.01])], "vec_id bigint, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(two).collect()} == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
 
 
 def test_multi_sequence_order():
