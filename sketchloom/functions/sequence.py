@@ -37,14 +37,42 @@ def pieces(seq: Column, size: int, overlap: int) -> Column:
     return F.transform(own, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(own, i + 1), F.lit("")), 1, overlap)))
 
 
-def portable_hash(kmer: Column) -> Column:
-    """The first 60 bits of a k-mer's MD5: a hash that plain SQL engines share."""
-    return F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("long")
+#: Fixed multipliers of the portable hash; its values have PORTABLE_BITS bits.
+PORTABLE_BITS, M1, M2, M3 = 60, 134_217_757, 67_108_879, 1_073_741_827
+_PRIME = (1 << 31) - 1
 
 
-def encode(seq: bytes) -> np.ndarray:
+def portable_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of k-mers (k <= 22) in small whole numbers, which plain SQL engines can state (portable_sql).
+
+    The bases as digits 0 to 3 are read as two decimal numbers, of the first k // 2 digits
+    and of the rest, that are mixed by products below 2^63.
+    """
+    digit = lambda p: ((codes >> np.uint64(2 * (k - 1 - p))) & np.uint64(3)).astype(np.int64)
+    halves = []
+    for first, last in ((0, k // 2), (k // 2, k)):
+        x = np.zeros(len(codes), np.int64)
+        for p in range(first, last):
+            x = x * 10 + digit(p)
+        halves.append(x)
+    x = halves[0] * M1 + halves[1] * M2
+    for _ in range(2):
+        x = x ^ (x >> 29)
+        x = (x % _PRIME) * M3 + x // _PRIME
+    return (x & ((1 << PORTABLE_BITS) - 1)).astype(np.uint64)
+
+
+def portable_sql(kmer: str, k: int) -> str:
+    """portable_hashes() of a SQL string expression."""
+    digits = f"translate({kmer}, 'ACGT', '0123')"
+    x = f"CAST(substr({digits}, 1, {k // 2}) AS BIGINT) * {M1} + CAST(substr({digits}, {k // 2 + 1}) AS BIGINT) * {M2}"
+    x = f"list_reduce([{x}, 1, 2], lambda x, i: (xor(x, x >> 29) % {_PRIME}) * {M3} + xor(x, x >> 29) // {_PRIME})"
+    return f"({x} & {(1 << PORTABLE_BITS) - 1})"
+
+
+def encode(seq: bytes | np.ndarray) -> np.ndarray:
     """A, C, G, T in either case as 0 .. 3, anything else 255."""
-    return _CODE[np.frombuffer(seq, np.uint8)]
+    return _CODE[seq if isinstance(seq, np.ndarray) else np.frombuffer(seq, np.uint8)]
 
 
 def reverse_complement_codes(codes: np.ndarray) -> np.ndarray:
@@ -94,20 +122,27 @@ def _final(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def murmur3_low64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
-    """Low 64 bits of MurmurHash3 x64-128 of many byte strings of one length; columns: their bytes, one array a place."""
-    n = len(columns)
-    c1, c2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+def _words(codes: np.ndarray, k: int, at: int, size: int) -> np.ndarray:
+    """Bytes at .. at + size of the k-mers as little-endian numbers, 8 bases at most by one table."""
+    table = np.zeros(4**size, np.uint64)
+    for j in range(size):
+        table |= _BASE[(np.arange(4**size) >> (2 * (size - 1 - j))) & 3] << np.uint64(8 * j)
+    return table[((codes >> np.uint64(2 * (k - at - size))) & np.uint64(4**size - 1)).astype(np.int64)]
 
-    def word(at: int, size: int) -> np.ndarray:
-        w = np.zeros(len(columns[0]), np.uint64)
-        for j in range(size):
-            w |= columns[at + j].astype(np.uint64) << np.uint64(8 * j)
-        return w
 
+def hash_codes(codes: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """Low 64 bits of MurmurHash3 x64-128 of the k-mers that 2-bit codes stand for."""
+    if not len(codes):
+        return np.zeros(0, np.uint64)
+    return murmur3_low64(lambda at, size: _words(codes, k, at, size), k, len(codes), seed)
+
+
+def murmur3_low64(word, n: int, many: int, seed: int = 42) -> np.ndarray:
+    """Low 64 bits of MurmurHash3 x64-128 of `many` byte strings of n bytes; word(at, size) gives bytes as numbers."""
+    c1, c2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
     first = lambda w: _rotated(w * c1, 31) * c2
     second = lambda w: _rotated(w * c2, 33) * c1
-    h1 = np.full(len(columns[0]), seed, np.uint64)
+    h1 = np.full(many, seed, np.uint64)
     h2 = h1.copy()
     for at in range(0, n - n % 16, 16):
         h1 = (_rotated(h1 ^ first(word(at, 8)), 27) + h2) * np.uint64(5) + np.uint64(0x52DCE729)
@@ -124,19 +159,18 @@ def murmur3_low64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
     return h1 + h2
 
 
-def hash_codes(codes: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """MurmurHash3 of the k-mers that 2-bit codes stand for."""
-    return murmur3_low64([_BASE[((codes >> np.uint64(2 * (k - 1 - p))) & np.uint64(3)).astype(np.int64)] for p in range(k)], seed) if len(codes) else np.zeros(0, np.uint64)
-
-
-def sketch(seq: bytes, k: int, scaled: int, seed: int = 42, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the kept k-mers of a sequence; taken in steps of bounded memory."""
-    codes, keep = encode(seq), np.uint64(max_hash(scaled))
+def sketch_codes(codes: np.ndarray, k: int, keep: int, hashed=hash_codes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the k-mers whose hash is `keep` at most; taken in steps of bounded memory."""
     pos, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at in range(0, max(1, len(codes) - k + 1), step):  # a k-mer belongs to the step where it starts
         p, c = canonical_codes(codes[at : at + step + k - 1], k)
-        h = hash_codes(c, k, seed)
-        on = h <= keep
+        h = hashed(c, k)
+        on = h <= np.uint64(keep)
         pos.append(p[on] + at)
         hashes.append(h[on])
     return np.concatenate(pos), np.concatenate(hashes)
+
+
+def sketch(seq: bytes, k: int, scaled: int, seed: int = 42, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the kept k-mers of a sequence under MurmurHash3."""
+    return sketch_codes(encode(seq), k, max_hash(scaled), lambda c, k: hash_codes(c, k, seed), step)

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
-PORTABLE_BITS = 60
-#: Sequences that the kernel takes at once.
-STEP_ROWS = 256
 
 
 def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
@@ -27,22 +24,35 @@ def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
 
 
 def hits(contigs: DataFrame, k: int = 21, scaled: int = 20, seed: int = 42) -> DataFrame:
-    """(contig, pos, h) of the kept canonical k-mers, by the vectorised kernel."""
+    """(contig, pos, h) of the kept canonical k-mers under MurmurHash3, by the vectorised kernel."""
+    return _hits(contigs, k, S.max_hash(scaled), lambda c, k: S.hash_codes(c, k, seed))
+
+
+def portable_hits(contigs: DataFrame, k: int = 21, scaled: int = 20) -> DataFrame:
+    """As hits(), with the portable hash (k <= 22)."""
+    return _hits(contigs, k, (1 << S.PORTABLE_BITS) // scaled, S.portable_hashes)
+
+
+def _hits(contigs: DataFrame, k: int, keep: int, hashed) -> DataFrame:
+    if not 4 <= k <= 31:
+        raise ValueError("k must lie in 4 .. 31")
     key = contigs.schema["contig"].dataType.simpleString()
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, s.encode()) for i, s in enumerate(batch.column(2).to_pylist()) if s]
-            for part in [rows[a : a + STEP_ROWS] for a in range(0, len(rows), STEP_ROWS)]:
-                # one run of the kernel for many sequences: the letter between them ends every k-mer
-                begin = np.cumsum([0, *(len(s) + 1 for _, s in part)])[:-1]
-                pos, h = S.sketch(b"N".join(s for _, s in part), k, scaled, seed)
-                own = np.searchsorted(begin, pos, side="right") - 1
-                row = pa.array(np.array([i for i, _ in part])[own])
-                at = batch.column(1).take(row).to_numpy() + pos - begin[own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
+            seqs = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+            data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            begin = offsets - offsets[0]
+            pos, h = S.sketch_codes(S.encode(data), k, keep, hashed)
+            own = np.searchsorted(begin, pos, side="right") - 1
+            inside = pos + k <= begin[own + 1]  # not over the end of a sequence
+            pos, h, own = pos[inside], h[inside], own[inside]
+            row = pa.array(own)
+            at = batch.column(1).take(row).to_numpy() + pos - begin[own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
 
-    return chunked(contigs, k).mapInArrow(op, f"contig {key}, pos bigint, h bigint")
+    return chunked(contigs.where(F.length("seq") >= k), k).mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 
 
 def kmers(contigs: DataFrame, k: int, piece: int = 256) -> DataFrame:
@@ -59,12 +69,6 @@ def kmers(contigs: DataFrame, k: int, piece: int = 256) -> DataFrame:
     return each.where(F.translate("kmer", "ACGT", "") == "").select("contig", "pos", S.canonical(F.col("kmer")).alias("kmer"))
 
 
-def portable_hits(contigs: DataFrame, k: int = 21, scaled: int = 20) -> DataFrame:
-    """As hits(), with the portable hash and DataFrame functions only."""
-    rows = kmers(contigs, k).select("contig", "pos", S.portable_hash(F.col("kmer")).alias("h"))
-    return rows.where(F.col("h") <= (1 << PORTABLE_BITS) // scaled)
-
-
 def store(found: DataFrame, bin_bp: int) -> DataFrame:
     """(contig, bin, h, n): kept hashes of each bin with their counts; a k-mer belongs to the bin of its start."""
     return found.groupBy("contig", F.expr(f"pos div {bin_bp}").alias("bin"), "h").agg(F.count("*").alias("n"))

@@ -55,7 +55,7 @@ def sql_kmers(k: int, table: str = "documents", key: str = "doc_id") -> str:
 
 def sql_hits(k: int = KMER, table: str = "documents", key: str = "doc_id", keep: int = KEEP) -> str:
     """(contig, pos, h) of the kept k-mers under the portable hash."""
-    return f"SELECT * FROM (SELECT contig, pos, CAST('0x' || substr(md5(kmer), 1, 15) AS BIGINT) AS h FROM ({sql_kmers(k, table, key)})) WHERE h <= {keep}"
+    return f"SELECT * FROM (SELECT contig, pos, {S.portable_sql('kmer', k)} AS h FROM ({sql_kmers(k, table, key)})) WHERE h <= {keep}"
 
 
 SQL_STORE = f"SELECT contig, pos // {BIN} AS bin, h, count(*) AS n FROM ({sql_hits()}) GROUP BY ALL"
