@@ -16,6 +16,22 @@ def quantised(rows: DataFrame, columns: list[str], top: int = 65_535) -> DataFra
     return rows.crossJoin(F.broadcast(ends)).select(*rows.columns, *[q(c).alias(f"q_{c}") for c in columns])  # one row of ends
 
 
+def shared_frame(frames: list[tuple[DataFrame, str]], top: int = 65_535) -> list[DataFrame]:
+    """Each rows' column quantised in one frame: the span of all of them is 0 .. top."""
+    ends = None
+    for rows, c in frames:
+        one = rows.agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
+        ends = one if ends is None else ends.union(one)
+    ends = F.broadcast(ends.agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")))  # one row
+    q = lambda c: F.bround((F.col(c) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) * top, 0).cast("long")
+    return [rows.crossJoin(ends).withColumn(f"q_{c}", q(c)).drop("_lo", "_hi") for rows, c in frames]
+
+
+def stretched(similarity: Column) -> Column:
+    """A similarity as 0 .. 255 by its cube root, so that small ones show."""
+    return F.floor(F.least(F.cbrt(F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0))) * 255, F.lit(255.0))).cast("long")
+
+
 def byte(value: Column, lo: float, hi: float) -> Column:
     """A value's place between lo and hi as 0 .. 255, clipped."""
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo))) * 255).cast("long")
@@ -41,7 +57,7 @@ def word_place(hits: DataFrame) -> DataFrame:
 
 
 def lanes(spans: DataFrame, margin: float = 8.0) -> DataFrame:
-    """spans (chrom, id, lo, hi) with lane: longest first, each in the first lane where it stands `margin` off the others.
+    """spans (chrom, id, lo, hi) with lane: longest first, each in the first lane where it stands over `margin` off the others.
 
     Sequential within a chromosome, so one task takes the spans of one (contigs, not reads).
     """
@@ -51,7 +67,7 @@ def lanes(spans: DataFrame, margin: float = 8.0) -> DataFrame:
         used: list[list[tuple[float, float]]] = []
         out = []
         for lo, hi in zip(pdf.lo, pdf.hi):
-            lane = next((i for i, own in enumerate(used) if all(hi + margin <= a or lo >= b + margin for a, b in own)), len(used))
+            lane = next((i for i, own in enumerate(used) if all(hi + margin < a or lo - margin > b for a, b in own)), len(used))
             if lane == len(used):
                 used.append([])
             used[lane].append((lo, hi))

@@ -46,16 +46,16 @@ def sql_seqs(table: str = "documents", key: str = "doc_id") -> str:
     return f"SELECT {key} AS contig, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {table} WHERE text IS NOT NULL"
 
 
-def sql_kmers(k: int, table: str = "documents", key: str = "doc_id") -> str:
-    """(contig, pos, kmer) of all canonical k-mers."""
+def sql_kmers(k: int, table: str = "documents", key: str = "doc_id", seqs: str | None = None) -> str:
+    """(contig, pos, kmer) of all canonical k-mers of a table's texts, or of sequences (contig, seq)."""
     return f"""SELECT contig, pos, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM (
       SELECT contig, pos, substr(seq, pos + 1, {k}) AS f FROM (
-        SELECT contig, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM ({sql_seqs(table, key)}) WHERE length(seq) >= {k}))"""
+        SELECT contig, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM ({seqs or sql_seqs(table, key)}) WHERE length(seq) >= {k}))"""
 
 
-def sql_hits(k: int = KMER, table: str = "documents", key: str = "doc_id", keep: int = KEEP) -> str:
+def sql_hits(k: int = KMER, table: str = "documents", key: str = "doc_id", keep: int = KEEP, seqs: str | None = None) -> str:
     """(contig, pos, h) of the kept k-mers under the portable hash."""
-    return f"SELECT * FROM (SELECT contig, pos, {S.portable_sql('kmer', k)} AS h FROM ({sql_kmers(k, table, key)})) WHERE h <= {keep}"
+    return f"SELECT * FROM (SELECT contig, pos, {S.portable_sql('kmer', k)} AS h FROM ({sql_kmers(k, table, key, seqs)})) WHERE h <= {keep}"
 
 
 SQL_STORE = f"SELECT contig, pos // {BIN} AS bin, h, count(*) AS n FROM ({sql_hits()}) GROUP BY ALL"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,19 +17,71 @@ REPEATS = T.StructType([*BED.fields, T.StructField("score", T.StringType()), T.S
 def fasta(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(contig, seq, length) of FASTA records, plain or .gz; the name is the header's first word.
 
-    A record is one row; text before the first header is dropped, and so are empty records.
+    A record is one row; text before a file's first header is dropped, and so are empty records.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i")).alias("at"))
+    # the one part of a file that keeps its ">" is its first; where none does, the first is no record
+    lead = raw.groupBy("file").agg(F.min("at").alias("first"), F.min_by(F.substring("value", 1, 1), "at").alias("mark")).where("mark <> '>'").select("file", F.col("first").alias("at"))
+    rows = raw.join(F.broadcast(lead), ["file", "at"], "left_anti")  # one row a file
     head = F.regexp_replace(F.substring_index("value", "\n", 1), "^>", "")
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\\n') + 1)")).otherwise("")
-    rows = raw.where(F.length("value") > 0).select(F.trim(F.regexp_extract(head, r"^(\S+)", 1)).alias("contig"), F.regexp_replace(body, r"\s+", "").alias("seq"))
+    rows = rows.where(F.length("value") > 0).select(F.regexp_extract(head, r"^(\S+)", 1).alias("contig"), F.regexp_replace(body, r"\s+", "").alias("seq"))
     return rows.where(F.length("seq") > 0).where(~F.col("contig").isin(*exclude) if exclude else F.lit(True)).withColumn("length", F.length("seq").cast("long"))
 
 
-def fastq(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
-    """(read, seq, qual) of FASTQ records of four lines with `least` bases or more."""
-    rows = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "^@", ""), "\n").alias("l")).where(F.size("l") >= 4)
-    return rows.select(F.regexp_extract(F.get("l", F.lit(0)), r"^(\S+)", 1).alias("read"), F.get("l", F.lit(1)).alias("seq"), F.get("l", F.lit(3)).alias("qual")).where(F.length("seq") >= least)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, value): the lines of text files with their numbers from 0, counted by blocks and not in one task."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("i").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")  # one row a block
+    return raw.join(F.broadcast(sizes.withColumn("before", before)), ["file", "block"]).select("file", (F.col("before") + F.col("i") - F.col("first")).alias("n"), "value")
+
+
+def fastq(spark: SparkSession, path: str, least: int = 0, most: int | None = None) -> DataFrame:
+    """(read, seq, qual) of FASTQ records of four lines with `least` bases or more; the first `most` of them in file order."""
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
+    rows = numbered_lines(spark, path).groupBy("file", F.expr("n div 4").alias("rec")).agg(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    rows = rows.where(F.col("qual").isNotNull() & (F.length("seq") >= least))
+    rows = rows.orderBy("file", "rec").limit(most) if most is not None else rows
+    return rows.select(F.regexp_extract("head", r"^@?(\S+)", 1).alias("read"), "seq", "qual")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def keyed(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at `path` if it was written under `key`, else what `build` gives, written there. build is not called on a hit."""
+    if exists(spark, f"{path}/key") and spark.read.text(f"{path}/key", wholetext=True).first()[0] == key:
+        return spark.read.parquet(f"{path}/rows")
+    build().write.mode("overwrite").parquet(f"{path}/rows")
+    spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{path}/key")  # last: a table with its key is whole
+    return spark.read.parquet(f"{path}/rows")
+
+
+def cached_contigs(spark: SparkSession, path: str, cache: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """fasta() through a cache that holds for the file's name and size; excluded contigs are cached and not returned."""
+    p, fs = _path(spark, path)
+    rows = keyed(spark, cache, f"{p.getName()}:{fs.getFileStatus(p).getLen()}", lambda: fasta(spark, path))
+    return rows.where(~F.col("contig").isin(*exclude)) if exclude else rows
+
+
+def cached_scan(spark: SparkSession, cache: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A whole-assembly scan through a cache that holds for a version (of input and parameters)."""
+    return keyed(spark, cache, version, build)
+
+
+def satellites(spark: SparkSession, path: str) -> DataFrame:
+    """A satellite track; FileNotFoundError where there is none."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return bed(spark, path)
 
 
 def bed(spark: SparkSession, path: str, schema: T.StructType = BED, required: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
@@ -41,10 +95,17 @@ def repeats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """Scans of several samples (Parquet files) with sample, top and j1; one file a sample, its name up to the first dot."""
+    """Scans of several samples (Parquet files) with sample, top and j1; one file a sample, its name up to the first dot.
+
+    ValueError if two files name one sample.
+    """
     rows = spark.read.parquet(path).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     side = F.when(F.col("_file").contains(".pat"), " pat").when(F.col("_file").contains(".mat"), " mat").otherwise("")
-    return rows.select("*", F.concat(F.substring_index("_file", ".", 1), side).alias("sample"), F.element_at("ehits", 1).alias("top"), F.element_at("ejacc", 1).alias("j1")).drop("_file")
+    rows = rows.withColumn("sample", F.concat(F.substring_index("_file", ".", 1), side))
+    twice = rows.groupBy("sample").agg(F.count_distinct("_file").alias("files")).where("files > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two files of sample {twice[0][0]}")
+    return rows.select("*", F.element_at("ehits", 1).alias("top"), F.element_at("ejacc", 1).alias("j1")).drop("_file")
 
 
 def write_store(sketch: DataFrame, bins: DataFrame, path: str, params: Params) -> None:
@@ -70,3 +131,41 @@ def write_metrics(metrics: DataFrame, path: str, stage: str) -> None:
 def write_table(rows: DataFrame, path: str) -> None:
     """A flat table as tab-separated text with a header."""
     rows.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+#: The columns that a stage's table has at least, by kind.
+TABLES = {
+    "svd": ("row", "z"),
+    "embedding": ("bin", "x", "y", "cluster", "cluster_prob"),
+    "pairs": ("a", "b", "inter", "jacc", "maxc", "cani"),
+    "annotation": ("chrom", "bin", "label", "frac"),
+    "periods": ("contig", "bin", "period", "strength"),
+    "clusters": ("cluster", "n_bins", "dom_class", "dom_class_frac"),
+    "acro": ("id", "label", "promiscuity", "vote"),
+    "scan": ("contig", "w", "cover", "hits", "sims", "ehits", "ejacc"),
+    "bench": ("stratum",),
+    "layout": ("row", "x", "y"),
+}
+
+
+def write_result(rows: DataFrame, path: str, kind: str) -> None:
+    """A stage's table as Parquet; ValueError if a column of its kind is missing."""
+    missing = [c for c in TABLES[kind] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{kind} needs {missing}")
+    rows.write.mode("overwrite").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines. Readers see the old table or the new one: it is written beside and then renamed."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").json(f"{path}.tmp")
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+    fs.rename(_path(spark, f"{path}.tmp")[0], p)
+
+
+def write_triage(rows: DataFrame, path: str) -> None:
+    """Triage rows as tab-separated text with a header and as JSON."""
+    write_table(rows, f"{path}/tsv")
+    write_json(rows, f"{path}/json")
