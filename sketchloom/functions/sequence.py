@@ -43,7 +43,7 @@ _PRIME = (1 << 31) - 1
 
 
 def portable_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of k-mers (k <= 22) in small whole numbers, which plain SQL engines can state (portable_sql).
+    """A hash of k-mers in small whole numbers, which plain SQL engines can state (portable_sql).
 
     The bases as digits 0 to 3 are read as two decimal numbers, of the first k // 2 digits
     and of the rest, that are mixed by products below 2^63.
@@ -55,7 +55,7 @@ def portable_hashes(codes: np.ndarray, k: int) -> np.ndarray:
         for p in range(first, last):
             x = x * 10 + digit(p)
         halves.append(x)
-    x = halves[0] * M1 + halves[1] * M2
+    x = halves[0] % _PRIME * M1 + halves[1] % _PRIME * M2
     for _ in range(2):
         x = x ^ (x >> 29)
         x = (x % _PRIME) * M3 + x // _PRIME
@@ -65,7 +65,7 @@ def portable_hashes(codes: np.ndarray, k: int) -> np.ndarray:
 def portable_sql(kmer: str, k: int) -> str:
     """portable_hashes() of a SQL string expression."""
     digits = f"translate({kmer}, 'ACGT', '0123')"
-    x = f"CAST(substr({digits}, 1, {k // 2}) AS BIGINT) * {M1} + CAST(substr({digits}, {k // 2 + 1}) AS BIGINT) * {M2}"
+    x = f"(CAST(substr({digits}, 1, {k // 2}) AS BIGINT) % {_PRIME}) * {M1} + (CAST(substr({digits}, {k // 2 + 1}) AS BIGINT) % {_PRIME}) * {M2}"
     x = f"list_reduce([{x}, 1, 2], lambda x, i: (xor(x, x >> 29) % {_PRIME}) * {M3} + xor(x, x >> 29) // {_PRIME})"
     return f"({x} & {(1 << PORTABLE_BITS) - 1})"
 

@@ -102,12 +102,26 @@ def knn_r2(vectors: DataFrame, value: str, k: int = 15, n_folds: int = 5) -> Dat
     return fold.agg(F.avg("r2").alias("r2"))
 
 
-def sweep(d: np.ndarray, grid: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
-    """(min_cluster, min_samples, clusters, noise share) of HDBSCAN over a grid of parameters."""
+def sweep(d: np.ndarray, grid: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, float]], list[tuple[int, int, int, int, float, bool]]]:
+    """HDBSCAN over a grid of (min_cluster, min_samples): settings with clusters and noise, and pairs of settings.
+
+    A pair has the adjusted Rand index of the points that both cluster, and whether the two
+    are adjacent: of one min_cluster, or of one min_samples and neighbouring min_clusters.
+    """
     from .cluster import hdbscan
 
-    out = []
-    for size, samples in grid:
-        labels, _ = hdbscan(d, size, samples)
-        out.append((size, samples, int(labels.max() + 1), float((labels < 0).mean())))
-    return out
+    found = [hdbscan(d, size, samples)[0] for size, samples in grid]
+    settings = [(a, b, int(x.max() + 1), float((x < 0).mean())) for (a, b), x in zip(grid, found)]
+    sizes, pairs = sorted({a for a, _ in grid}), []
+    for i, (a, b) in enumerate(grid):
+        for j in range(i):
+            c, e = grid[j]
+            both = (found[i] >= 0) & (found[j] >= 0)
+            table = np.zeros((found[i].max() + 1, found[j].max() + 1))
+            np.add.at(table, (found[i][both], found[j][both]), 1)
+            two = lambda x: float((x * (x - 1) / 2).sum())
+            n, index, sa, sb = table.sum(), two(table), two(table.sum(1)), two(table.sum(0))
+            chance = sa * sb / max(n * (n - 1) / 2, 1)
+            ari = 1.0 if (sa + sb) / 2 == chance else (index - chance) / ((sa + sb) / 2 - chance)
+            pairs.append((c, e, a, b, ari, a == c or (b == e and abs(sizes.index(a) - sizes.index(c)) == 1)))
+    return settings, pairs

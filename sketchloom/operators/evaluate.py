@@ -39,23 +39,38 @@ def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> float:
         left[x], right[y] = left.get(x, 0) + m, right.get(y, 0) + m
     entropy = lambda d: -sum(m / n * math.log(m / n) for m in d.values())
     mutual = sum(m / n * math.log(n * m / (left[x] * right[y])) for x, y, m in table)
-    fact = [0.0]
-    for i in range(1, n + 1):
-        fact.append(fact[-1] + math.log(i))
+    fact = lambda i: math.lgamma(i + 1)
     expected = 0.0
     for p in left.values():
         for q in right.values():
             for m in range(max(1, p + q - n), min(p, q) + 1):
-                chance_ = fact[p] + fact[q] + fact[n - p] + fact[n - q] - fact[n] - fact[m] - fact[p - m] - fact[q - m] - fact[n - p - q + m]
+                chance_ = fact(p) + fact(q) + fact(n - p) + fact(n - q) - fact(n) - fact(m) - fact(p - m) - fact(q - m) - fact(n - p - q + m)
                 expected += m / n * math.log(n * m / (p * q)) * math.exp(chance_)
     mean = (entropy(left) + entropy(right)) / 2
     return 1.0 if abs(mean - expected) < 1e-15 else (mutual - expected) / (mean - expected)
 
 
 def average_ranks(counts: DataFrame, value: str) -> DataFrame:
-    """Average ranks of distinct values (value, n): (value, n, rank), ties sharing the mean."""
-    order = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("rank", F.sum("n").over(order) - (F.col("n") - 1) / 2)
+    """Average ranks of distinct values (value, n): (value, n, rank), ties sharing the mean.
+
+    Values are dealt to ranges; a range is ranked in one task and starts where the ranges
+    before it end, so no task orders all values.
+    """
+    parts = counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()).persist()
+    own = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ends = parts.groupBy("_part").agg(F.sum("n").alias("_all"))  # one row a range
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = parts.withColumn("_own", F.sum("n").over(own)).join(F.broadcast(ends.withColumn("_before", before)), "_part")
+    return out.withColumn("rank", F.col("_before") + F.col("_own") - (F.col("n") - 1) / 2).drop("_part", "_own", "_all", "_before")
+
+
+def auc_by(rows: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
+    """(groups, auc) of small groups: rank-based, ties sharing average ranks."""
+    by = rows.groupBy(*groups, score).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
+    order = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by.withColumn("rank", F.sum("n").over(order) - (F.col("n") - 1) / 2)
+    n1, n0 = F.sum("p"), F.sum(F.col("n") - F.col("p"))
+    return ranked.groupBy(*groups).agg(((F.sum(F.col("rank") * F.col("p")) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
 
 
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
@@ -74,23 +89,43 @@ def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def cluster_table(rows: DataFrame) -> DataFrame:
-    """Rows (cluster, cls, chrom, gc) as one row a cluster of 0 or more: size, dominant class and chromosome, mean gc.
+    """Rows (cluster, cls, chrom, gc[, bp, sd, private]) as one row a cluster of 0 or more, largest first.
 
-    The most common class and chromosome, the first by name on ties.
+    Size (and Mb of bp), dominant class and chromosome with their shares, means of gc, sd
+    and private. The most common class and chromosome, the first by name on ties.
     """
     own = rows.where("cluster >= 0")
-    total = own.groupBy("cluster").agg(F.count("*").alias("n_bins"), F.avg("gc").alias("gc"), F.count_distinct("chrom").alias("n_chroms"))
+    more = [F.avg(c).alias(c) for c in ("sd", "private") if c in rows.columns] + ([(F.sum("bp") / 1e6).alias("mb")] if "bp" in rows.columns else [])
+    total = own.groupBy("cluster").agg(F.count("*").alias("n_bins"), F.avg("gc").alias("gc"), F.count_distinct("chrom").alias("n_chroms"), *more)
+    extra = [c for c in ("mb", "sd", "private") if c in total.columns]
     for c, n in (("cls", "dom_class"), ("chrom", "dom_chrom")):
         by = own.groupBy("cluster", c).agg(F.count("*").alias("m"))
         top = by.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("m"), c))).where("r = 1")
         total = total.join(top.select("cluster", F.col(c).alias(n), F.col("m").alias(f"{n}_n")), "cluster")
-    return total.select("cluster", "n_bins", "dom_class", (F.col("dom_class_n") / F.col("n_bins")).alias("dom_class_frac"), "n_chroms", "dom_chrom", (F.col("dom_chrom_n") / F.col("n_bins")).alias("dom_chrom_frac"), "gc")
+    return total.select("cluster", "n_bins", "dom_class", (F.col("dom_class_n") / F.col("n_bins")).alias("dom_class_frac"), "n_chroms", "dom_chrom", (F.col("dom_chrom_n") / F.col("n_bins")).alias("dom_chrom_frac"), "gc", *extra).orderBy(F.desc("n_bins"), "cluster")
 
 
 def purity(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n_bins") * F.col("dom_class_frac")) / F.sum("n_bins")).alias("purity"))
 
 
+def recovered(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """One row (recovered): of the rows (cluster, cls) of some classes, the share that lies in a cluster of 0 or more."""
+    return rows.where(F.col("cls").isin(classes)).agg((F.count_if(F.col("cluster") >= 0) / F.greatest(F.count("*"), F.lit(1))).alias("recovered"))
+
+
+def parent_majority(rows: DataFrame) -> DataFrame:
+    """(parent, child): the most common cluster of 0 or more of each parent, the smallest on ties; -1 where there is none."""
+    by = rows.where("child >= 0").groupBy("parent", "child").agg(F.count("*").alias("n"))
+    top = by.groupBy("parent").agg(F.max(F.struct("n", (-F.col("child")).alias("c"))).alias("b")).select("parent", (-F.col("b.c")).alias("child"))
+    return rows.select("parent").distinct().join(top, "parent", "left").select("parent", F.coalesce("child", F.lit(-1)).alias("child"))
+
+
+def sampled_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """At most `most` pairs (a, b), by the MD5 of their names: a sampling operator."""
+    return pairs.orderBy(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))).limit(most)
+
+
 def explained(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     """One row (explained): 1 - the sum of squares within clusters over the whole."""
     within = rows.groupBy(cluster).agg((F.count(value) * F.var_pop(value)).alias("w")).agg(F.sum("w").alias("w"))
@@ -105,6 +140,18 @@ def close_recall(pairs: DataFrame, near: str, by: str, share: float) -> DataFram
     return first.join(second.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+def agreement(pairs: DataFrame, exact: str, model: str, near: float, within: float) -> DataFrame:
+    """One row (n, spearman, recall) of pairs (a, b) with two distances.
+
+    recall: of the `near` share that is closest by the exact distance, the part that lies
+    among the `within` share closest by the model; ties by (a, b).
+    """
+    n = pairs.count()
+    first, second = (pairs.orderBy(c, "a", "b").limit(max(1, math.ceil(n * share))).select("a", "b") for c, share in ((exact, near), (model, within)))
+    hit = first.join(second.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return correlation(pairs, exact, model).select(F.lit(n).cast("long").alias("n"), "spearman").crossJoin(hit)  # one row each
+
+
 def whitened(z: Column, sigma: list[float], alpha: float) -> Column:
     """Components divided by sigma^alpha; a sigma of 0 or less counts as 1."""
     return F.zip_with(z, F.array(*[F.lit((s if s > 0 else 1.0) ** alpha) for s in sigma]), lambda a, b: a / b)
@@ -118,3 +165,11 @@ def unit(z: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def best_setting(rows: DataFrame, base: str, slack: float = 0.02) -> DataFrame:
+    """rows (tag, health, score) with able (health within `slack` of the base's) and best: the able one with the largest score, the first tag on ties."""
+    floor = F.max(F.when(F.col("tag") == base, F.col("health"))).over(Window.partitionBy())  # a row a setting: few
+    able = F.col("health") >= floor - slack
+    order = Window.partitionBy("able").orderBy(F.desc("score"), "tag")
+    return rows.withColumn("able", able).withColumn("best", F.col("able") & (F.row_number().over(order) == 1))

@@ -42,3 +42,19 @@ def arms(dim: DataFrame, alpha: DataFrame) -> DataFrame:
     middle = (F.col("start") + F.col("end")) / 2
     arm = F.when(F.col("lo").isNull(), "q").when(middle < F.col("lo"), "p").when(middle > F.col("hi"), "q").otherwise("cen")
     return dim.join(F.broadcast(extent), "chrom", "left").select("chrom", "bin", arm.alias("arm"))
+
+
+def flags(shares: DataFrame, dim: DataFrame, telomere, repeats: list) -> DataFrame:
+    """(chrom, bin, telo, rm_total, rm_<group>...) of every bin: telomere where its share is above 0, repeat shares clipped to 0 .. 1."""
+    clip = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    of = lambda g: F.sum(F.when(F.col("grp") == g, F.col("frac")))
+    wide = shares.groupBy("chrom", "bin").agg(of(telomere).alias("t"), F.sum(F.when(F.col("grp").isin(repeats), F.col("frac"))).alias("all"), *[of(g).alias(f"g_{g}") for g in repeats])
+    out = dim.select("chrom", "bin").join(wide, ["chrom", "bin"], "left")
+    return out.select("chrom", "bin", (F.coalesce("t", F.lit(0.0)) > 0).alias("telo"), clip(F.col("all")).alias("rm_total"), *[clip(F.col(f"g_{g}")).alias(f"rm_{g}") for g in repeats])
+
+
+def parent_class(shares: DataFrame, dim: DataFrame, factor: int, order: list, least: float = 0.3) -> DataFrame:
+    """(chrom, parent, label, frac): the class with the largest mean share over a parent's bins, as dominant()."""
+    many = dim.groupBy("chrom", F.expr(f"bin div {factor}").alias("parent")).agg(F.count("*").alias("n"))
+    mean = shares.groupBy("chrom", F.expr(f"bin div {factor}").alias("parent"), "grp").agg(F.sum("frac").alias("s")).join(many, ["chrom", "parent"])
+    return dominant(mean.select("chrom", F.col("parent").alias("bin"), "grp", (F.col("s") / F.col("n")).alias("frac")), order, least).withColumnRenamed("bin", "parent")

@@ -48,7 +48,7 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", apart: int | None =
             if apart is not None:
                 chrom, pos = table.column("chrom").to_numpy(), table.column("pos").to_numpy()
                 gone |= (chrom[part][:, None] == chrom[b][None, :]) & (np.abs(pos[part][:, None] - pos[b][None, :]) <= apart)
-            s = np.where(gone, -np.inf, s)
+            s = np.where(gone, -np.inf, np.round(s, 9))
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             sim = np.take_along_axis(s, top, 1)
             r, c = np.nonzero(np.isfinite(sim))

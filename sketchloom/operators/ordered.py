@@ -93,3 +93,25 @@ def thinned(windows: DataFrame, cap: int) -> DataFrame:
     ranked = windows.withColumn("i", F.row_number().over(order) - 1).withColumn("n_all", F.count("*").over(Window.partitionBy("contig")))
     wanted = F.when(F.col("n_all") <= cap, F.array(F.col("i").cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: F.bround(k * ((F.col("n_all") - 1) / F.lit(float(cap - 1))), 0).cast("long")))
     return ranked.where(F.array_contains(wanted, F.col("i").cast("long"))).drop("i")
+
+
+#: Fixed value: bases of one alpha monomer.
+MONOMER = 170.8
+
+
+def period_summary(rows: DataFrame, strong: float = 0.3, least: int = 10, least_rdna: int = 5) -> DataFrame:
+    """One row of rows (live, rdna, period, strength): the live arrays' median period, in monomers, the periodic share, the rDNA's median.
+
+    live, rdna: whether a bin is of that class. Figures of under `least` (`least_rdna`)
+    periodic bins are null.
+    """
+    live, rdna = F.col("live") & (F.col("strength") > strong), F.col("rdna") & (F.col("strength") > strong)
+    n, m = F.count_if(live), F.count_if(rdna)
+    got = rows.agg(F.when(n >= least, F.median(F.when(live, F.col("period")))).alias("live_period"), F.when(n >= least, F.round(n / F.greatest(F.count_if("live"), F.lit(1)), 3)).alias("live_periodic"), F.when(m >= least_rdna, F.round(F.median(F.when(rdna, F.col("period"))), 1)).alias("rdna_period"))
+    return got.select(F.round("live_period", 1).alias("live_period"), F.round(F.col("live_period") / MONOMER, 2).alias("live_monomers"), "live_periodic", "rdna_period")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, place): distinct keys numbered from 0 in the order in which `order` first shows them."""
+    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
+    return first.select(key, (F.row_number().over(Window.orderBy("_first", key)) - 1).cast("long").alias("place"))  # one row a key

@@ -29,7 +29,7 @@ def hits(contigs: DataFrame, k: int = 21, scaled: int = 20, seed: int = 42) -> D
 
 
 def portable_hits(contigs: DataFrame, k: int = 21, scaled: int = 20) -> DataFrame:
-    """As hits(), with the portable hash (k <= 22)."""
+    """As hits(), with the portable hash."""
     return _hits(contigs, k, (1 << S.PORTABLE_BITS) // scaled, S.portable_hashes)
 
 
@@ -142,6 +142,21 @@ def pairs(sketch: DataFrame, k: int) -> DataFrame:
     return both.select(F.col("a.contig").alias("contig_a"), F.col("a.bin").alias("bin_a"), F.col("b.contig").alias("contig_b"), F.col("b.bin").alias("bin_b"), "inter", (F.col("inter") / (F.col("size_a") + F.col("size_b") - F.col("inter"))).alias("jacc"), maxc.alias("maxc"), F.pow(F.least(F.lit(1.0), maxc), F.lit(1.0 / k)).alias("cani"))
 
 
+def distances(found: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(a, b, d_jacc, d_ani) of all ordered pairs of bins of one sketch, zero pairs and the diagonal (0) included.
+
+    found: pairs() of the sketch. For bins of a bounded number only: the result is their square.
+    """
+    names = sketch.select(F.struct("contig", "bin").alias("a")).distinct()
+    every = names.agg(F.sort_array(F.collect_list("a")).alias("all"))
+    grid = names.join(F.broadcast(every), how="cross").select("a", F.explode("all").alias("b"))  # one row of names
+    one = found.select(F.struct(F.col("contig_a").alias("contig"), F.col("bin_a").alias("bin")).alias("a"), F.struct(F.col("contig_b").alias("contig"), F.col("bin_b").alias("bin")).alias("b"), "jacc", "cani")
+    both = one.union(one.select(F.col("b"), F.col("a"), "jacc", "cani"))
+    same = F.col("a") == F.col("b")
+    near = lambda c: F.when(same, 0.0).otherwise(1 - F.coalesce(c, F.lit(0.0)))
+    return grid.join(both, ["a", "b"], "left").select("a", "b", near("jacc").alias("d_jacc"), near("cani").alias("d_ani"))
+
+
 def top_hits(query: DataFrame, sketch: DataFrame, k: int = 8) -> DataFrame:
     """(query, rank, contig, bin, jacc): the k bins nearest to each query's hashes, ties by (contig, bin).
 

@@ -116,11 +116,3 @@ SELECT count(*) AS n, round(avg(CASE WHEN c.a IS NULL THEN 0 ELSE 1 END), 6) AS
 def h7_close_pair_recall(spark, sf_dir):
     pairs = K.pairs(K.parents(doc_store(spark, sf_dir), 1 << 30), KMER).select(F.col("contig_a").alias("a"), F.col("contig_b").alias("b"), "jacc", "maxc")
     return E.close_recall(pairs, "jacc", "maxc", 0.02).withColumn("recall", F.round("recall", 6))
-
-
-@query("""WITH m AS (SELECT source AS parent, lang AS child, count(*) AS n FROM documents GROUP BY ALL) SELECT parent, child FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY n DESC, child) AS r FROM m) WHERE r = 1""")
-def f31_parent_majority(spark, sf_dir):
-    from pyspark.sql import Window
-
-    m = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("parent"), F.col("lang").alias("child")).agg(F.count("*").alias("n"))
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("n"), "child"))).where("r = 1").select("parent", "child")

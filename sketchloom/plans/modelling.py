@@ -1,4 +1,4 @@
-"""Queries without SQL: decompositions, clusterings, layouts and simulated benchmarks."""
+"""Queries of decompositions, clusterings, layouts, labs and simulated benchmarks."""
 
 from __future__ import annotations
 
@@ -10,38 +10,51 @@ from ..operators import cluster as C
 from ..operators import linear as L
 from ..operators import simulate as M
 from ..operators import sketch as K
-from ..operators.evaluate import dot, unit
-from .base import KMER, SCALED, contigs, doc_store, query, read
+from ..operators import display as D
+from ..operators import neighbours as N
+from ..operators import project as P
+from ..operators.evaluate import best_setting, dot, unit, whitened
+from .base import KMER, SCALED, contigs, query, read, sql_hits, sql_seqs
 
-#: Points that the clusterings on the driver take from the embeddings, at most.
-MOST_POINTS = C.MOST_POINTS
 
+def embedded(spark, sf_dir):
+    """(ids, matrix) of the embeddings; refused before anything is collected if they are too many."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    C.guard(rows.count())
+    rows = rows.orderBy("vec_id").collect()
+    return [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
 
-def weighted(spark, sf_dir):
-    """Documents as rows (row, h, w) of the tf-idf matrix."""
-    sketch = K.parents(doc_store(spark, sf_dir), 1 << 30)
-    n = sketch.select("contig").distinct().count()
-    return K.tfidf(sketch, F.lit(n)).select(F.col("contig").alias("row"), "h", "w")
 
+def long_rows(spark, sf_dir):
+    """The embeddings as rows (row, h, w) of a matrix."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("h", "w")).withColumn("w", F.col("w").cast("double"))
 
-def embedded(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(MOST_POINTS + 1).collect()
-    return [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+
+_WIDTH = 64
+_SQL_LONG = "x AS (SELECT vec_id AS row, unnest(range(0, len(embedding))) AS h, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings)"
 
 
 @query()
 def j2_svd_sigma(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("h", "w")).withColumn("w", F.col("w").cast("double"))
-    _, sigma = L.subspace_svd(rows, 16)
+    _, sigma = L.subspace_svd(long_rows(spark, sf_dir), 16)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "dim int, sigma double")
 
 
-@query()
+@query(f"""WITH {_SQL_LONG}, g AS (SELECT a.h, b.h AS k, sum(a.w * b.w) AS g FROM x a JOIN x b ON a.row = b.row GROUP BY a.h, b.h)
+SELECT (SELECT round(sum(w * w), 4) FROM x) AS squares, (SELECT round(sum(g * g), 2) FROM g) AS fourths""")
+def j2_svd_moments(spark, sf_dir):
+    """All singular values by their sums of squares and of fourth powers: the norms of the matrix and of its Gram matrix."""
+    _, sigma = L.subspace_svd(long_rows(spark, sf_dir), _WIDTH)
+    return spark.createDataFrame([(round(float((sigma**2).sum()), 4), round(float((sigma**4).sum()), 2))], "squares double, fourths double")
+
+
+@query("SELECT vec_id AS query, 1.0 AS cosine FROM embeddings")
 def j3_fold_in(spark, sf_dir):
-    x = weighted(spark, sf_dir)
-    z, sigma = L.subspace_svd(x, 8, rounds=3)
+    """Rows folded in as queries find their own coordinates: at full rank the cosine is 1."""
+    x = long_rows(spark, sf_dir)
+    z, sigma = L.subspace_svd(x, _WIDTH)
     got = L.folded_in(x.withColumnRenamed("row", "query"), x, z, sigma)
-    return got.join(z.select(F.col("row").alias("query"), unit(F.col("z")).alias("own")), "query").select("query", dot(F.col("z"), F.col("own")).alias("cosine"))
+    return got.join(z.select(F.col("row").alias("query"), unit(F.col("z")).alias("own")), "query").select("query", F.round(dot(F.col("z"), F.col("own")), 6).alias("cosine"))
 
 
 @query()
@@ -57,11 +70,18 @@ def j10_linkage(spark, sf_dir):
     return spark.createDataFrame([(s, int(a), int(b), float(d), int(n)) for s, (a, b, d, n) in enumerate(C.average_linkage(C.distances(x)))], "step int, left bigint, right bigint, dist double, size bigint")
 
 
-@query()
+_SQL_TURN = """p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS tx, CAST(embedding[4] AS DOUBLE) AS ty FROM embeddings),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(tx) AS mtx, avg(ty) AS mty FROM p), c AS (SELECT sum((x - mx) * (tx - mtx)) AS a, sum((x - mx) * (ty - mty)) AS b, sum((y - my) * (tx - mtx)) AS c, sum((y - my) * (ty - mty)) AS d, sum((x - mx) ** 2 + (y - my) ** 2) AS n FROM p, m),
+s AS (SELECT *, sqrt((a + d) ** 2 + (b - c) ** 2) AS s1, sqrt((a - d) ** 2 + (b + c) ** 2) AS s2 FROM c),
+q AS (SELECT CASE WHEN a * d >= b * c THEN (a + d) / s1 ELSE (a - d) / s2 END AS q11, CASE WHEN a * d >= b * c THEN (b - c) / s1 ELSE (b + c) / s2 END AS q12, CASE WHEN a * d >= b * c THEN (c - b) / s1 ELSE (b + c) / s2 END AS q21, CASE WHEN a * d >= b * c THEN (a + d) / s1 ELSE (d - a) / s2 END AS q22, greatest(s1, s2) / n AS scale FROM s)"""
+
+
+@query(f"WITH {_SQL_TURN} SELECT vec_id, round(scale * ((x - mx) * q11 + (y - my) * q21) + mtx, 5) AS ax, round(scale * ((x - mx) * q12 + (y - my) * q22) + mty, 5) AS ay FROM p, m, q")
 def j11_procrustes(spark, sf_dir):
+    """The first two components of the embeddings, moved, scaled and turned onto the next two."""
     e = F.col("embedding")
-    turn, scale = L.procrustes(read(spark, sf_dir, "embeddings").select(*[F.get(e, F.lit(i)).cast("double").alias(c) for i, c in enumerate(("x", "y", "tx", "ty"))]))
-    return spark.createDataFrame([(*map(float, turn.ravel()), scale)], "a double, b double, c double, d double, scale double")
+    points = read(spark, sf_dir, "embeddings").select("vec_id", *[F.get(e, F.lit(i)).cast("double").alias(c) for i, c in enumerate(("x", "y", "tx", "ty"))])
+    return L.aligned(points).select("vec_id", F.round("ax", 5).alias("ax"), F.round("ay", 5).alias("ay"))
 
 
 @query()
@@ -70,22 +90,186 @@ def j6_umap(spark, sf_dir):
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, C.umap(x, rounds=50))], "vec_id bigint, x double, y double")
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings) SELECT (SELECT count(*) - 1 FROM v) AS merges, (SELECT count(*) FROM v) AS last_size,
+  (SELECT round(min(list_distance(a.z, b.z)), 5) FROM v a JOIN v b ON a.vec_id < b.vec_id) AS first_dist""")
+def j10_linkage_ends(spark, sf_dir):
+    """What any linkage of all points must give: one merge less than points, the nearest pair first, all points last."""
+    _, x = embedded(spark, sf_dir)
+    links = C.average_linkage(C.distances(x))
+    return spark.createDataFrame([(len(links), int(links[-1, 3]), round(float(links[0, 2]), 5))], "merges bigint, last_size bigint, first_dist double")
+
+
+def passage_distances(spark, sf_dir):
+    """(names, d) of benchmark passages by 1 - cANI: few bins, so the driver may hold their distances."""
+    sketch = K.parents(K.store(K.portable_hits(contigs(spark, sf_dir, "benchmark", "item_id"), KMER, 5), 200), 1 << 30)
+    C.guard(sketch.select("contig").distinct().count())
+    rows = K.distances(K.pairs(sketch, KMER), sketch).collect()
+    names = sorted({r["a"]["contig"] for r in rows})
+    at, d = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in rows:
+        d[at[r["a"]["contig"]], at[r["b"]["contig"]]] = r["d_ani"]
+    return names, d
+
+
+@query()
+def j8_hdbscan_cani(spark, sf_dir):
+    names, d = passage_distances(spark, sf_dir)
+    labels, prob = C.hdbscan(d, 5, 3)
+    return spark.createDataFrame([(n, int(a), float(p)) for n, a, p in zip(names, labels, prob)], "item bigint, cluster int, prob double")
+
+
+@query()
+def j9_umap_cani(spark, sf_dir):
+    names, d = passage_distances(spark, sf_dir)
+    xy = C.umap(d, neighbours=15, min_dist=0.1, precomputed=True)
+    order = C.leaf_order(C.average_linkage(d), d) if len(d) > 1 else np.arange(len(d))
+    place = {int(i): r for r, i in enumerate(order)}
+    return spark.createDataFrame([(n, float(x), float(y), place[i]) for i, (n, (x, y)) in enumerate(zip(names, xy))], "item bigint, x double, y double, leaf int")
+
+
+KS = (15, 17, 19, 21, 23, 25)
+_SQL_LADDER = " UNION ALL ".join(f"SELECT {k} AS k, CAST(sum(df) AS BIGINT) AS n_kept, count(*) AS n_distinct, count(*) FILTER (WHERE df >= 2) AS n_shared FROM (SELECT h, count(DISTINCT contig) AS df FROM ({sql_hits(k)}) GROUP BY h)" for k in KS)
+
+
+@query(_SQL_LADDER)
+def j12_k_ladder(spark, sf_dir):
+    """One plan over word lengths: kept hashes by document, different ones, and those of two documents or more."""
+    docs, out = contigs(spark, sf_dir), None
+    for k in KS:
+        df = K.document_frequency(K.portable_hits(docs, k, SCALED).select("contig", "h").distinct())
+        one = df.agg(F.lit(k).alias("k"), F.sum("df").alias("n_kept"), F.count("*").alias("n_distinct"), F.count_if(F.col("df") >= 2).alias("n_shared"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def blocks_of(spark, sf_dir, many: int):
+    """The embeddings as `many` vocabularies: equal parts of their components, each at unit length."""
+    z, size = F.col("embedding").cast("array<double>"), _WIDTH // many
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.get(z, F.lit(0)).alias("gc"), *[unit(F.slice(z, i * size + 1, size)).alias(f"b{i}") for i in range(many)])
+
+
+@query()
+def j13_structure_lab(spark, sf_dir):
+    """Whitening by four strengths, and the best one whose class accuracy stays within 0.02 of none."""
+    rows, results = blocks_of(spark, sf_dir, 1), []
+    sigma = [1 + 0.1 * i for i in range(_WIDTH)]
+    for alpha in (0.0, 0.35, 0.7, 1.0):
+        v = rows.select("id", "label", "gc", whitened(F.col("b0"), sigma, alpha).alias("z"))
+        results.append((f"a{int(alpha * 100):03d}", float(D.knn_accuracy(v).first()["accuracy"]), float(D.knn_r2(v, "gc").first()["r2"])))
+    return best_setting(spark.createDataFrame(results, "tag string, health double, score double"), "a000")
+
+
+@query()
+def j14_multi_vocabulary(spark, sf_dir):
+    """Candidate sets of vocabularies side by side: class accuracy and regression of each."""
+    rows, results = blocks_of(spark, sf_dir, 4), []
+    for name, own in (("first two", (0, 1)), ("ends", (0, 3)), ("first, third", (0, 2)), ("three", (0, 1, 3)), ("all", (0, 1, 2, 3))):
+        v = rows.select("id", "label", "gc", F.concat(*[f"b{i}" for i in own]).alias("z"))
+        results.append((name, float(D.knn_accuracy(v).first()["accuracy"]), float(D.knn_r2(v, "gc").first()["r2"])))
+    return spark.createDataFrame(results, "vocabularies string, accuracy double, r2 double")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS tag, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END), 6) AS health, round(avg(o_totalprice), 6) AS score FROM orders GROUP BY 1), b AS (SELECT health FROM r WHERE tag = '1-URGENT')
+SELECT tag, r.health, score, r.health >= b.health - 0.02 AS able, row_number() OVER (PARTITION BY r.health >= b.health - 0.02 ORDER BY score DESC, tag) = 1 AND r.health >= b.health - 0.02 AS best FROM r, b""")
+def j13_selection(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tag")).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("health"), F.round(F.avg("o_totalprice"), 6).alias("score"))
+    return best_setting(rows, "1-URGENT")
+
+
+@query()
+def k24_stability(spark, sf_dir):
+    """How far neighbours stay: layouts of other seeds, and sketches of documents at 2 and 4 times the scale."""
+    ids, x = embedded(spark, sf_dir)
+    layout = lambda seed: spark.createDataFrame([(i, [float(v) for v in p]) for i, p in zip(ids, C.umap(x, rounds=50, seed=seed))], "id bigint, z array<double>")
+    base, out = N.knn(layout(42), 15, "euclidean"), []
+    for seed in (1, 2, 3):
+        out.append((f"seed {seed}", float(N.overlap(base, N.knn(layout(seed), 15, "euclidean"), 15).agg(F.avg("jaccard")).first()[0])))
+    found = K.portable_hits(contigs(spark, sf_dir, "documents"), KMER, 20)
+
+    def near(times: int):
+        sketch = K.downsampled(K.parents(K.store(found, 200), 1 << 30), (1 << S.PORTABLE_BITS) // (20 * times))
+        n = sketch.select("contig").distinct().count()
+        rows = K.tfidf(sketch, F.lit(n)).select(F.col("contig").alias("row"), "h", "w")
+        z, _ = L.subspace_svd(rows, 8, rounds=3)
+        return N.knn(z.select(F.col("row").cast("bigint").alias("id"), "z"), 5)
+
+    whole = near(1)
+    return spark.createDataFrame(out + [(f"scale x {t}", float(N.overlap(whole, near(t), 5).agg(F.coalesce(F.avg("jaccard"), F.lit(0.0))).first()[0])) for t in (2, 4)], "change string, overlap double")
+
+
+_P, _WIN, _SPAN, _SCALE, _SHIFT = 21, 200, 6, 5, 1 << 20
+
+
+def reference(spark, sf_dir):
+    """(docs, store, dim) of the documents: bins (bin, contig, sat); a third of the documents counts as satellite."""
+    docs = contigs(spark, sf_dir)
+    sketch = K.store(K.portable_hits(docs, _P, _SCALE), _WIN).select((F.col("contig") * _SHIFT + F.col("bin")).alias("bin"), "h", "n")
+    dim = K.bins(docs, _WIN).select("contig", "bin", (F.col("contig") % 3 == 0).alias("sat"))
+    return docs, sketch, dim
+
+
+def placed_windows(found, sketch):
+    """Windows (contig, w, h, n) with their best bin: (contig, w, chrom, mb, j, cover)."""
+    sizes = sketch.groupBy("bin").agg(F.count("*").alias("size"))
+    got = P.exact(P.enough(found.select(F.struct("contig", "w").alias("query"), "h", "n")), sketch, sizes, [], 1).where(F.size("ehits") > 0)
+    top = F.get("ehits", F.lit(0))
+    return got.select("query.contig", "query.w", top.alias("top"), F.expr(f"ehits[0] div {_SHIFT}").alias("chrom"), ((top % _SHIFT) * _WIN + _WIN / 2).alias("mb"), F.get("ejacc", F.lit(0)).alias("j"), "cover")
+
+
+def fragments(spark, sf_dir, many: int):
+    docs, sketch, dim = reference(spark, sf_dir)
+    own = M.spans(dim, _SPAN, many)
+    cut = M.corrupted(own, docs, _SPAN, _WIN, 20, S.reverse_complement).select("stratum", "i", "kind", F.concat_ws("/", "stratum", F.col("i").cast("string"), "kind").alias("contig"), "seq")
+    found = P.scan_hits(cut.select("contig", "seq"), _WIN, _P, _SCALE, True)
+    rows = placed_windows(found, sketch)
+    return cut.select("contig", "stratum", "i", "kind").join(M.order_rows(rows.withColumn("mb", F.col("mb") / _WIN), 4), "contig").drop("contig")
+
+
+@query(f"""WITH d AS ({sql_seqs()}), b AS (SELECT contig, unnest(range(0, (length(seq) - 1) // {_WIN} + 1)) AS b FROM d WHERE length(seq) > 0), w AS (SELECT contig, b, avg(CASE WHEN contig % 3 = 0 THEN 1 ELSE 0 END) OVER o AS share, count(*) OVER o AS n FROM b WINDOW o AS (PARTITION BY contig ORDER BY b ROWS BETWEEN CURRENT ROW AND {_SPAN} FOLLOWING)),
+s AS (SELECT contig, b, CASE WHEN share >= 0.6 THEN 'sat' WHEN share = 0 THEN 'eu' END AS stratum FROM w WHERE n = {_SPAN + 1})
+SELECT * FROM (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(contig || ':' || b)) - 1 AS i, contig, b FROM s WHERE stratum IS NOT NULL) WHERE i < 40""")
+def a11_span_sampler(spark, sf_dir):
+    return M.spans(reference(spark, sf_dir)[2], _SPAN, 40)
+
+
 @query()
 def k20_misassembly(spark, sf_dir):
-    """Cover of intact and inverted documents: canonical k-mers hardly change, their order does."""
-    own = contigs(spark, sf_dir).where(F.length("seq") >= 3 * KMER)
-    store = doc_store(spark, sf_dir)
-    turned = own.withColumn("seq", M.inverted_middle(F.col("seq"), S.reverse_complement))
-    q = [K.cover(K.portable_hits(c, KMER, SCALED).withColumnRenamed("contig", "query"), store, KMER).select("query", F.col("cover").alias(n)) for c, n in ((own, "intact"), (turned, "inverted"))]
-    return q[0].join(q[1], "query")
+    """Made contigs, whole and corrupted in three ways, by the order of their windows' placements (cells: f27_bench_cells)."""
+    return fragments(spark, sf_dir, 40)
+
+
+@query()
+def k20_misassembly_cells(spark, sf_dir):
+    return M.cells(fragments(spark, sf_dir, 40))
+
+
+_SQL_CELLS = """WITH r AS (SELECT o_orderstatus AS stratum, ['control', 'inversion', 'misjoin_inter', 'misjoin_intra'][o_orderkey % 4 + 1] AS kind, o_orderkey % 7 % 3 AS jumps, (o_custkey % 21) / 10.0 - 1 AS min_tau FROM orders),
+e AS (SELECT stratum, k AS of, kind = k AS pos, CASE WHEN k = 'inversion' THEN (1 - min_tau) / 2 ELSE jumps END AS score, CASE WHEN k = 'inversion' THEN min_tau <= -0.7 ELSE jumps >= 1 END AS hit FROM r JOIN (VALUES ('inversion'), ('misjoin_inter'), ('misjoin_intra')) v(k) ON kind = k OR kind = 'control'),
+a AS (SELECT *, rank() OVER (PARTITION BY stratum, of ORDER BY score) + (count(*) OVER (PARTITION BY stratum, of, score) - 1) / 2 AS rank FROM e)
+SELECT stratum, of AS kind, round((sum(rank) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 3) AS auc, round(avg(CAST(hit AS INT)) FILTER (WHERE pos), 3) AS detected, round(avg(CAST(hit AS INT)) FILTER (WHERE NOT pos), 3) AS control_fpr FROM a GROUP BY stratum, of"""
+
+
+@query(_SQL_CELLS)
+def f27_bench_cells(spark, sf_dir):
+    kind = F.get(F.array(*[F.lit(k) for k in M.KINDS]), (F.col("o_orderkey") % 4).cast("int"))
+    return M.cells(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stratum"), kind.alias("kind"), (F.col("o_orderkey") % 7 % 3).alias("jumps"), (F.col("o_custkey") % 21 / 10.0 - 1).alias("min_tau")))
 
 
 @query()
 def k21_reads(spark, sf_dir):
-    """Cover and error meter of documents read with 0, 2 and 5 % errors."""
-    own, store, out = contigs(spark, sf_dir), doc_store(spark, sf_dir), None
-    for rate in (0.0, 0.02, 0.05):
-        reads = M.with_errors(own.withColumnRenamed("contig", "id"), rate).withColumnRenamed("id", "contig")
-        one = K.cover(K.portable_hits(reads, KMER, SCALED).withColumnRenamed("contig", "query"), store, KMER).agg(F.lit(rate).alias("rate"), F.count("*").alias("n"), F.avg("cover").alias("cover"), F.avg("err").alias("err"))
-        out = one if out is None else out.union(one)
+    """Reads of three lengths, three error rates and two strata, on either strand: placement, Jaccard and cover of each cell."""
+    docs, sketch, dim = reference(spark, sf_dir)
+    out, lengths = None, (1, 2, 4)
+    own = M.spans(dim, max(lengths), 40)
+    for n in lengths:
+        for rate in (0.0, 0.02, 0.05):
+            start = F.col("b") * _WIN + _WIN // 2
+            reads = own.join(docs, "contig").select("stratum", F.col("contig").alias("chrom0"), F.col("b").alias("b0"), F.concat_ws("/", "stratum", F.col("i").cast("string")).alias("id"), F.substring("seq", (start + 1).cast("int"), F.lit(n * _WIN)).alias("seq"))
+            reads = reads.withColumn("seq", F.when(F.xxhash64("id") % 2 == 0, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+            seqs = M.with_errors(reads, rate).withColumnRenamed("id", "contig")
+            found = K.store(K.portable_hits(seqs, _P, _SCALE), 1 << 30).withColumnRenamed("bin", "w")
+            got = reads.select("stratum", "chrom0", "b0", F.col("id").alias("contig")).join(placed_windows(found, sketch), "contig", "left")
+            bin_ = F.col("top") % _SHIFT
+            one = got.groupBy("stratum").agg(F.lit(n * _WIN).alias("length"), F.lit(rate).alias("err"), F.count("*").alias("n"), F.round(F.avg(F.coalesce(((F.col("chrom") == F.col("chrom0")) & bin_.between(F.col("b0"), F.col("b0") + n)).cast("int"), F.lit(0))), 3).alias("top1"), F.round(F.avg(F.coalesce((F.col("chrom") == F.col("chrom0")).cast("int"), F.lit(0))), 3).alias("chrom_acc"), F.round(F.median("j"), 3).alias("j_med"), F.round(F.median("cover"), 3).alias("cover_med"))
+            out = one if out is None else out.union(one)
     return out
