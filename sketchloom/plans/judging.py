@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -17,6 +15,7 @@ from ..operators import project as P
 from ..operators import scans as C
 from ..operators import sketch as K
 from ..operators.linear import gram
+from ..session import new_folder
 from ..sources import files
 from .base import contigs, query, read, sql_hits
 from .measuring import SQL_CLUSTERS, SQL_VEC, clustered, vectors
@@ -170,15 +169,10 @@ def f28_error_meter(spark, sf_dir):
     return R.error_meter(compared(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ("pearson", "spearman", "slope", "intercept")})
 
 
-def _fresh(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/loom-sink-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {SQL_SCAN} SELECT contig, w, round(cover, 6) AS cover, array_to_string(ehits, ',') AS ehits FROM scan")
 def b10_scan_sink(spark, sf_dir):
     """A scan with its lists, written and read again."""
-    path = _fresh(spark)
+    path = new_folder(spark, "sink")
     rows = scan(spark, sf_dir).withColumn("hits", F.col("ehits")).withColumn("sims", F.col("ejacc"))
     files.write_result(rows, path, "scan")
     return spark.read.parquet(path).select("contig", "w", F.round("cover", 6).alias("cover"), F.array_join(F.transform("ehits", lambda x: x.cast("string")), ",").alias("ehits"))
@@ -187,7 +181,7 @@ def b10_scan_sink(spark, sf_dir):
 @query(f"{SQL_TRIAGE} SELECT contig, n_win, orient, jumps FROM triage")
 def b12_triage_sink(spark, sf_dir):
     """Triage rows as text and JSON, read from the text and checked against the JSON."""
-    path, rows = _fresh(spark), C.triage(scan(spark, sf_dir), places(spark), BIN_BP)
+    path, rows = new_folder(spark, "sink"), C.triage(scan(spark, sf_dir), places(spark), BIN_BP)
     files.write_triage(rows, path)
     text = spark.read.csv(f"{path}/tsv", sep="\t", header=True, schema=rows.schema).select("contig", "n_win", "orient", "jumps")
     return text.join(spark.read.schema(rows.schema).json(f"{path}/json").select("contig", "n_win"), ["contig", "n_win"], "left_semi")
@@ -196,7 +190,7 @@ def b12_triage_sink(spark, sf_dir):
 @query("SELECT source AS id, count(*) AS n, list_sort(list(DISTINCT lang))[1] AS first FROM documents GROUP BY source")
 def b11_json_sink(spark, sf_dir):
     """Nested rows as JSON by write and rename, written twice and read again."""
-    path = _fresh(spark)
+    path = new_folder(spark, "sink")
     rows = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lang")).alias("langs"))
     for part in (rows.limit(1), rows):
         files.write_json(part, path)
