@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read, ship  # noqa: F401  (for the operators)
+from ..session import checkpoint_dir, drop_folder, new_folder, read, ship, written  # noqa: F401  (for the operators)
 
 #: ASCII white space, as a regular-expression class body and as characters.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -23,34 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEP_BYTES = 4 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is named, a folder under the warehouse, which is shared too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/loom-checkpoints").rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder, removed when the driver ends."""
-    path = f"{checkpoint_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rowed(docs: DataFrame, **parts: Column) -> DataFrame:
     """docs as one struct column, _row, beside the named columns: no name of docs can clash with these."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in parts.items()])
