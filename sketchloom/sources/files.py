@@ -58,10 +58,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def keyed(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at `path` if it was written under `key`, else what `build` gives, written there. build is not called on a hit."""
-    if exists(spark, f"{path}/key") and spark.read.text(f"{path}/key", wholetext=True).first()[0] == key:
+    if exists(spark, f"{path}/key") and spark.read.text(f"{path}/key").first()[0] == key:
         return spark.read.parquet(f"{path}/rows")
     build().write.mode("overwrite").parquet(f"{path}/rows")
-    spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{path}/key")  # last: a table with its key is whole
+    spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/key")  # last: a table with its key is whole
     return spark.read.parquet(f"{path}/rows")
 
 
