@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +36,8 @@ def canonical(kmer: Column) -> Column:
 def pieces(seq: Column, size: int, overlap: int) -> Column:
     """A sequence as array of pieces of `size` bases, each with the next `overlap` bases; in linear time."""
     own = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    return F.transform(own, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(own, i + 1), F.lit("")), 1, overlap)))
+    joined = lambda o: F.transform(o, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(o, i + 1), F.lit("")), 1, overlap)))
+    return F.get(F.transform(F.array(own), joined), 0)  # within a lambda, own would be cut anew for each piece
 
 
 #: Fixed multipliers of the portable hash; its values have PORTABLE_BITS bits.
@@ -122,12 +125,18 @@ def _final(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _words(codes: np.ndarray, k: int, at: int, size: int) -> np.ndarray:
-    """Bytes at .. at + size of the k-mers as little-endian numbers, 8 bases at most by one table."""
+@cache
+def _table(size: int) -> np.ndarray:
+    """The bytes of each run of `size` bases as a little-endian number."""
     table = np.zeros(4**size, np.uint64)
     for j in range(size):
         table |= _BASE[(np.arange(4**size) >> (2 * (size - 1 - j))) & 3] << np.uint64(8 * j)
-    return table[((codes >> np.uint64(2 * (k - at - size))) & np.uint64(4**size - 1)).astype(np.int64)]
+    return table
+
+
+def _words(codes: np.ndarray, k: int, at: int, size: int) -> np.ndarray:
+    """Bytes at .. at + size of the k-mers as little-endian numbers, 8 bases at most by one table."""
+    return _table(size)[((codes >> np.uint64(2 * (k - at - size))) & np.uint64(4**size - 1)).astype(np.int64)]
 
 
 def hash_codes(codes: np.ndarray, k: int, seed: int = 42) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import sketch as K
-from ..session import read, spread
+from ..session import read, spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +39,8 @@ def contigs(spark: SparkSession, sf_dir: str, table: str = "documents", key: str
 
 
 def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.store(K.portable_hits(contigs(spark, sf_dir), KMER, SCALED), BIN)
+    """The store of the documents, sketched once and written: a plan that reads it several times scans no text again."""
+    return written(K.store(K.portable_hits(contigs(spark, sf_dir), KMER, SCALED), BIN), "store")
 
 
 def sql_seqs(table: str = "documents", key: str = "doc_id") -> str:

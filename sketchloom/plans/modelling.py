@@ -14,6 +14,7 @@ from ..operators import display as D
 from ..operators import neighbours as N
 from ..operators import project as P
 from ..operators.evaluate import best_setting, dot, unit, whitened
+from ..session import written
 from .base import KMER, SCALED, contigs, query, read, sql_hits, sql_seqs
 
 
@@ -203,7 +204,7 @@ _P, _WIN, _SPAN, _SCALE, _SHIFT = 21, 200, 6, 5, 1 << 20
 def reference(spark, sf_dir):
     """(docs, store, dim) of the documents: bins (bin, contig, sat); a third of the documents counts as satellite."""
     docs = contigs(spark, sf_dir)
-    sketch = K.store(K.portable_hits(docs, _P, _SCALE), _WIN).select((F.col("contig") * _SHIFT + F.col("bin")).alias("bin"), "h", "n")
+    sketch = written(K.store(K.portable_hits(docs, _P, _SCALE), _WIN).select((F.col("contig") * _SHIFT + F.col("bin")).alias("bin"), "h", "n"), "store")
     dim = K.bins(docs, _WIN).select("contig", "bin", (F.col("contig") % 3 == 0).alias("sat"))
     return docs, sketch, dim
 
@@ -211,7 +212,7 @@ def reference(spark, sf_dir):
 def placed_windows(found, sketch):
     """Windows (contig, w, h, n) with their best bin: (contig, w, chrom, mb, j, cover)."""
     sizes = sketch.groupBy("bin").agg(F.count("*").alias("size"))
-    got = P.exact(P.enough(found.select(F.struct("contig", "w").alias("query"), "h", "n")), sketch, sizes, [], 1).where(F.size("ehits") > 0)
+    got = P.exact(written(P.enough(found.select(F.struct("contig", "w").alias("query"), "h", "n")), "windows"), sketch, sizes, [], 1).where(F.size("ehits") > 0)
     top = F.get("ehits", F.lit(0))
     return got.select("query.contig", "query.w", top.alias("top"), F.expr(f"ehits[0] div {_SHIFT}").alias("chrom"), ((top % _SHIFT) * _WIN + _WIN / 2).alias("mb"), F.get("ejacc", F.lit(0)).alias("j"), "cover")
 
@@ -219,7 +220,8 @@ def placed_windows(found, sketch):
 def fragments(spark, sf_dir, many: int):
     docs, sketch, dim = reference(spark, sf_dir)
     own = M.spans(dim, _SPAN, many)
-    cut = M.corrupted(own, docs, _SPAN, _WIN, 20, S.reverse_complement).select("stratum", "i", "kind", F.concat_ws("/", "stratum", F.col("i").cast("string"), "kind").alias("contig"), "seq")
+    cut = M.corrupted(written(own, "spans"), docs, _SPAN, _WIN, 20, S.reverse_complement).select("stratum", "i", "kind", F.concat_ws("/", "stratum", F.col("i").cast("string"), "kind").alias("contig"), "seq")
+    cut = written(cut, "fragments")
     found = P.scan_hits(cut.select("contig", "seq"), _WIN, _P, _SCALE, True)
     rows = placed_windows(found, sketch)
     return cut.select("contig", "stratum", "i", "kind").join(M.order_rows(rows.withColumn("mb", F.col("mb") / _WIN), 4), "contig").drop("contig")
@@ -260,7 +262,7 @@ def k21_reads(spark, sf_dir):
     """Reads of three lengths, three error rates and two strata, on either strand: placement, Jaccard and cover of each cell."""
     docs, sketch, dim = reference(spark, sf_dir)
     out, lengths = None, (1, 2, 4)
-    own = M.spans(dim, max(lengths), 40)
+    own = written(M.spans(dim, max(lengths), 40), "spans")
     for n in lengths:
         for rate in (0.0, 0.02, 0.05):
             start = F.col("b") * _WIN + _WIN // 2
