@@ -13,6 +13,7 @@ from sketchloom.operators import compare as R
 from sketchloom.operators import display as D
 from sketchloom.operators import linear as A
 from sketchloom.operators import mixing as X
+from sketchloom.operators import ordered as O
 from sketchloom.operators import project as P
 from sketchloom.operators import simulate as M
 from sketchloom.operators import sketch as K
@@ -110,6 +111,15 @@ def test_benchmark_of_made_contigs(spark):
     assert got["fine"]["tau"] == 1 and got["fine"]["min_tau"] == 1 and got["turned"]["min_tau"] == -1 and got["fine"]["jumps"] == 0
 
 
+def test_long_tau_equals_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(0, 40, n) / 100]) for i, n in enumerate([0, 1, 2, 3, 17, 64, 65, 200, 300])]
+    got = {r["i"]: r for r in spark.createDataFrame(rows, "i int, v array<double>").select("i", O.long_tau(F.col("v")).alias("a"), O.tau_a(F.col("v")).alias("b")).collect()}
+    for i, v in rows:
+        want = sum(np.sign(b - a) if abs(b - a) > 0.01 else 0 for k, a in enumerate(v) for b in v[k + 1 :]) / max(len(v) * (len(v) - 1) / 2, 1)
+        assert got[i]["a"] == pytest.approx(want) and got[i]["b"] == pytest.approx(want)
+
+
 def test_error_rate(spark):
     reads = spark.createDataFrame([(i, "ACGTN" * 400) for i in range(10)], "id bigint, seq string")
     for rate in (0.0, 0.05):
