@@ -8,8 +8,7 @@ like the target).
 Words and bigrams are counted under 64-bit hashes, so vocabulary and counts grow with the
 corpus. Texts are coded once, in chunks: each chunk sends its distinct words and bigrams
 with their own counts to the task that a hash belongs to and gets back the corpus's counts
-of just these (cross_entropy()). train() and scored() are the form with one table of fixed
-size, for a corpus of few words; the query does not use it.
+of just these (cross_entropy()).
 """
 
 from __future__ import annotations
@@ -25,103 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read, steps, texts_of, word_ids, written
 
-#: Ids of the vocabulary and rows of the bigram table of the fixed form, train() (each a power of two).
-WORDS, PAIRS = 1 << 17, 1 << 20
 #: Weight of the bigram estimate, and the count that smooths each unigram.
 MIX, PRIOR = 0.6, 0.1
-_START = WORDS  # the id before a text's first word
 #: Text bytes of a chunk, and distinct n-grams that a counting task should get of all chunks.
 CHUNK_BYTES, PART = 16 << 20, 1 << 20
 _START_KEY = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of the lower-cased words of each text."""
-    offsets, ids, words = word_ids(texts)
-    lowered = pc.utf8_lower(words).cast(pa.large_binary()).to_pylist()
-    own = np.fromiter((xxhash.xxh32_intdigest(w) for w in lowered), np.int64, len(lowered)) % WORDS
-    return offsets, own[ids]
-
-
-def before(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The id before each word."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    out[offsets[:-1][offsets[:-1] < offsets[1:]]] = _START
-    return out
-
-
-def pairs_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    key = (first.astype(np.uint64) * np.uint64(WORDS * 2) + second.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(44)).astype(np.int64) % PAIRS
-
-
-def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(slot, target, background): words counted over all documents, by table row.
-
-    Slots below WORDS + 1 are words (the last is the start of a text), the rest bigrams.
-    Labels of the held-out fifth do not count.
-    """
-    good = labels.where((F.col("quality") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().withColumn("good", F.lit(True))
-
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = WORDS + 1 + PAIRS
-        for batch in batches:  # a batch's counts are one sparse block, so a worker holds two tables at most
-            total = np.zeros((2, size), np.int32)
-            for part in steps(batch):
-                offsets, ids = coded(texts_of(part))
-                is_good = np.repeat(np.asarray(pc.fill_null(part.column(1), False)), np.diff(offsets))
-                first = before(offsets, ids)
-                for k, on in ((0, is_good), (1, slice(None))):
-                    total[k, :WORDS] += np.bincount(ids[on], minlength=WORDS).astype(np.int32)
-                    total[k, _START] += int((first[on] == _START).sum())
-                    total[k, WORDS + 1 :] += np.bincount(pairs_of(first[on], ids[on]), minlength=PAIRS).astype(np.int32)
-            at = np.flatnonzero(total[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["slot", "target", "background"])
-
-    # labels grow with the documents: one plan at every size, never a broadcast of them
-    rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "good")
-    return rows.mapInArrow(op, "slot int, target int, background int").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Counts of both models, (2, slots): one row a table slot comes to the driver, however many documents there are."""
-    table = np.zeros((2, WORDS + 1 + PAIRS))
-    # slots come in blocks: each row of the result holds the slots of one block
-    blocks = counts(docs, labels).withColumn("block", F.expr("slot div 16384")).groupBy("block").agg(F.collect_list(F.struct("slot", "target", "background")).alias("rows"))
-    packed = written(blocks.select(F.transform("rows", lambda r: r["slot"]).alias("slot"), F.transform("rows", lambda r: r["target"]).alias("target"), F.transform("rows", lambda r: r["background"]).alias("background")), "counts")
-    for slot, target, background in packed.toLocalIterator():
-        table[0, slot], table[1, slot] = target, background
-    return table
-
-
-def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, score) of every row; losses are nats a word.
-
-    score = background_loss - target_loss. A null or empty text has no words, losses of 0
-    and score 0. Repeated rows score alike; an empty table gives no rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
-
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value[:, : WORDS + 1], shared.value[:, WORDS + 1 :]
-        uni = (words[:, :WORDS] + PRIOR) / (words[:, :WORDS].sum(1, keepdims=True) + PRIOR * WORDS)
-        for batch in batches:
-            for part in steps(batch):
-                offsets, ids = coded(texts_of(part))
-                first = before(offsets, ids)
-                pair, n = pairs_of(first, ids), np.diff(offsets)
-                doc = np.repeat(np.arange(part.num_rows), n)
-                loss = []
-                for k in (0, 1):
-                    history = words[k][first]
-                    p = np.where(history > 0, MIX * np.minimum(pairs[k][pair] / np.maximum(history, 1), 1), 0) + np.where(history > 0, 1 - MIX, 1) * uni[k][ids]
-                    loss.append(np.bincount(doc, -np.log(p), part.num_rows) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(op, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
-
-
 def packed(keys: np.ndarray, ordered: bool = False) -> bytes:
     """Whole numbers as compressed byte planes; ascending ones as their steps."""
     a = np.ascontiguousarray(keys, "<u8")

@@ -26,56 +26,81 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _WEIGHTS = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
-def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
-    """Words that lie in a window found twice or more in the sequence of word ids."""
-    n = len(ids) - window + 1
-    if n < 2:
-        return 0
+def repeated_words(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of each text, the words that lie in a window found twice or more in it; text i has the word ids offsets[i] .. offsets[i + 1]."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(np.arange(len(ids)) + window <= offsets[1:][doc])  # windows that end in their text
     u = ids.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, np.uint64)
+    key = (doc[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(window):
-        key += u[j : j + n] * _WEIGHTS[j % WINDOW]
+        key += u[at + j] * _WEIGHTS[j % WINDOW]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return 0
-    maybe = np.zeros(n, bool)
+    maybe = np.zeros(len(at), bool)
     maybe[order[1:][same]] = maybe[order[:-1][same]] = True
-    at = np.flatnonzero(maybe)  # equal keys are only likely to be equal windows: compare the words
-    _, inverse, counts = np.unique(np.lib.stride_tricks.sliding_window_view(ids, window)[at], axis=0, return_inverse=True, return_counts=True)
-    at = at[counts[inverse.ravel()] > 1]
-    edge = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return int((edge.cumsum()[:-1] > 0).sum())
-
-
-def _without(b: bytes, drop: bytes) -> int:
-    return len(b) - len(b.translate(None, drop))
+    at = at[maybe]  # equal keys are only likely to be equal windows: compare the words
+    cover = np.zeros(len(ids) + 1, np.int64)
+    if len(at):
+        rows = np.concatenate([doc[at][:, None], np.lib.stride_tricks.sliding_window_view(ids, window)[at]], axis=1)
+        _, inverse, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        at = at[counts[inverse.ravel()] > 1]
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + window, -1)
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
+    return inside[offsets[1:]] - inside[offsets[:-1]]
+
+
+def _distinct(doc: np.ndarray, item: np.ndarray, many: int) -> np.ndarray:
+    """The different items of each of `many` texts."""
+    if not len(item):
+        return np.zeros(many, np.int64)
+    top = int(item.max()) + 1
+    pairs = np.sort(doc * top + item)
+    return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] // top, minlength=many)
 
 
 def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(base, features) of each text: the columns BASE (int64) and FEATURES (float64)."""
+    """(base, features) of each text: the columns BASE (int64) and FEATURES (float64), counted over all texts at once."""
+    many = len(texts)
     offsets, ids, words = word_ids(texts)
+    n = np.diff(offsets)
+    doc = np.repeat(np.arange(many), n)
     length = np.asarray(pc.utf8_length(words), dtype=np.int64)
     first = np.asarray(pc.utf8_is_upper(pc.utf8_slice_codeunits(words, 0, 1)), dtype=bool)
+    per = lambda weight: np.bincount(doc, weight[ids], many)
     raw = texts.cast(pa.large_binary())
-    base, feats = np.zeros((len(texts), len(BASE)), np.int64), np.zeros((len(texts), len(FEATURES)))
-    for i in range(len(texts)):
-        own = ids[offsets[i] : offsets[i + 1]]
-        n, b = len(own), raw[i].as_py()
-        lines = [x for x in b.split(b"\n") if x and not x.isspace()]
-        size = length[own]
-        chars, symbols, dups, repeats = int(size.sum()), _without(b, SYMBOLS), len(lines) - len(set(lines)), repeated_words(own)
-        base[i] = n, chars, symbols, dups, repeats
-        if not n:
-            continue
-        letters, upper = _without(b, _LETTERS), _without(b, _LETTERS[:26])
-        feats[i] = (
-            np.log1p(n), chars / n, symbols / n, dups / max(len(lines), 1), repeats / n, upper / max(letters, 1), _without(b, b"0123456789") / n, b.count(b"!") / n,
-            _without(b, b".,;:?'\"()-") / n, np.unique(own).size / n, n / max(len(lines), 1), b.count(b"|") / n, (size <= 3).mean(), 1 - len(b.decode()) / len(b), first[own].mean(),
-        )
-    return base, feats
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + many + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    full_texts = np.flatnonzero(np.diff(ends))
+
+    def count(these: bytes) -> np.ndarray:
+        on = np.zeros(256, bool)
+        on[list(these)] = True
+        out = np.zeros(many, np.int64)
+        if len(data):
+            out[full_texts] = np.add.reduceat(on[data], ends[:-1][full_texts] - ends[0], dtype=np.int64)
+        return out
+
+    lists = pc.split_pattern(texts, "\n")
+    flat, cuts = lists.flatten(), np.asarray(lists.offsets, np.int64)
+    line_doc = np.repeat(np.arange(many), np.diff(cuts))
+    full = np.asarray(pc.not_equal(pc.binary_length(pc.ascii_trim_whitespace(flat)), 0), dtype=bool)
+    coded = pc.dictionary_encode(flat.filter(pa.array(full)))
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    lines = np.bincount(line_doc[full], minlength=many)
+    dups = lines - _distinct(line_doc[full], np.asarray(coded.indices, dtype=np.int64), many)
+    chars, symbols, repeats = per(length).astype(np.int64), count(SYMBOLS), repeated_words(ids, offsets)
+    base = np.stack([n, chars, symbols, dups, repeats], 1)
+    size, one, row = np.diff(ends), np.maximum(n, 1), np.maximum(lines, 1)
+    feats = np.stack(
+        [
+            np.log1p(n), chars / one, symbols / one, dups / row, repeats / one, count(_LETTERS[:26]) / np.maximum(count(_LETTERS), 1), count(b"0123456789") / one, count(b"!") / one,
+            count(b".,;:?'\"()-") / one, _distinct(doc, ids, many) / one, n / row, count(b"|") / one, per(length <= 3) / one, 1 - np.asarray(pc.utf8_length(texts), dtype=np.int64) / np.maximum(size, 1), per(first) / one,
+        ],
+        1,
+    )
+    feats[n == 0] = 0
+    return base.astype(np.int64), feats
 
 
 def features_of(docs: DataFrame) -> DataFrame:
