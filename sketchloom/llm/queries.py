@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embed_dedup import op7_multi_index
+from .exact_dedup import OP12_SQL, op12_golomb_exchange
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .lm_score import op5_cross_entropy
 from .mixing import op6_block_mix
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
+    "op12_golomb_exchange": op12_golomb_exchange,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op12_golomb_exchange": OP12_SQL,
 }
