@@ -6,6 +6,7 @@ from .embed_dedup import op7_multi_index
 from .exact_dedup import OP12_SQL, op12_golomb_exchange
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .lm_score import op5_cross_entropy
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import op6_block_mix
 from .packing import op8_vector_best_fit
 from .pii import op4_candidate_boost
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
     "op12_golomb_exchange": op12_golomb_exchange,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op12_golomb_exchange": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
