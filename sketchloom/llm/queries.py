@@ -9,6 +9,7 @@ from .lm_score import op5_cross_entropy
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import op6_block_mix
 from .packing import op8_vector_best_fit
+from .phrases import OP11_SQL, op11_suffix_sigma
 from .pii import op4_candidate_boost
 from .quality_rules import op10_quality_rules
 from .quality_subword import op1_quality_subword
@@ -26,12 +27,14 @@ QUERIES = {
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_simhash_vp": op9_simhash_vp,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_sigma": op11_suffix_sigma,
     "op12_golomb_exchange": op12_golomb_exchange,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op11_suffix_sigma": OP11_SQL,
     "op12_golomb_exchange": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
