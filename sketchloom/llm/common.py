@@ -32,6 +32,13 @@ def unrowed(names: list[str]) -> list[Column]:
     return [F.col(f"_row.`{c}`").alias(c) for c in names]
 
 
+def beside(docs: DataFrame, *own: str) -> tuple[list[Column], Callable[[str], Column]]:
+    """How to carry docs with the columns `own` at the top: the rest as one struct, _rest (none: no column), and each column's way back by name."""
+    others = [c for c in docs.columns if c.lower() not in own]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []
+    return rest, lambda c: (F.col(c.lower()) if c.lower() in own else F.col(f"_rest.`{c}`")).alias(c)
+
+
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -113,6 +120,11 @@ def bounded_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     )
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """The least row of each doc_id, so that repeated ids pass no bound on labelled rows."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
+
+
 def spanning(mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges with the connectivity of the bipartite graph `mask`; as many as it has nodes at most."""
     r, c = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, read, written
+from .common import beside, new_folder, read, written
 
 #: A fingerprint has so many bits more than the number of rows: one text in 2^SPARE is a suspect by chance.
 SPARE = 10
@@ -102,10 +102,6 @@ def _whole() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def _others(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
-
-
 def _table(docs: DataFrame) -> DataFrame:
     """docs as a table bucketed by sender: (id, text, _rest, h, sha, sender, pos, row); _rest: the other columns, if any.
 
@@ -114,7 +110,7 @@ def _table(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     many = max(1, min(MOST_SENDERS, docs.rdd.getNumPartitions()))
-    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if (others := _others(docs)) else []
+    rest, _ = beside(docs, "doc_id", "text")
     rows = docs.coalesce(many).select(F.col("doc_id").alias("id"), "text", *rest).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("part", F.shiftright("row", 33).cast("int")).withColumn("pos", F.col("row").bitwiseAND((1 << 33) - 1))
     rows = rows.join(F.broadcast(_labels(spark, many)), "part").drop("part")
@@ -225,9 +221,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     placed = written(met.select("sender", "pos", "sha").groupBy("sender").cogroup(asked.groupBy("to")).applyInArrow(place, schema), "answers")
     out = table.join(placed.hint("shuffle_hash"), "sender", "left").withColumn("of", F.get("of", F.col("pos").cast("int")))
     alone = F.col("of").isNull()
-    own = {"doc_id": F.col("id"), "text": F.col("text")}
+    _, back = beside(docs, "doc_id", "text")
+    out = out.withColumn("doc_id", F.col("id"))
     return out.select(
-        *[own.get(c.lower(), F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256")],
+        *[back(c) for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256")],
         F.when(alone, F.col("id")).otherwise(F.col("of.id")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("of.n")).cast("long").alias("group_size"),
         F.when(alone, F.lit(True)).otherwise(F.col("of.row") == F.col("row")).alias("kept"),
@@ -237,7 +234,8 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs as they are."""
-    return grouped(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "doc_id", "text")).where("kept").select(*[F.col(f"_all.`{c}`").alias(c) for c in docs.columns])
+    rest, back = beside(docs, "doc_id", "text")
+    return grouped(docs.select("doc_id", "text", *rest)).where("kept").select(*[back(c) for c in docs.columns])
 
 
 def op12_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,8 +174,8 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     joined = joined.select("*", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda x: x["times"])))).alias("_copy"))
     own = F.flatten(F.transform(F.filter("_spans", lambda x: x["times"] >= F.col("_copy")), lambda x: F.slice(F.col("_words"), x["start"].cast("int") + 1, x["words"].cast("int"))))
     made = joined.select("_row", F.ltrim(F.array_join(own, "")).alias("_new"))
-    new = {"text": F.col("_new").alias("text"), "n_chars": F.char_length("_new").cast("long").alias("n_chars")}
-    return made.select(*[new.get(c, old) for c, old in zip(docs.columns, unrowed(docs.columns))])
+    new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
+    return made.select(*[new.get(c.lower(), old).alias(c) for c, old in zip(docs.columns, unrowed(docs.columns))])
 
 
 def op6_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

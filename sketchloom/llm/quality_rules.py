@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boost
-from .common import bounded_sample, read, steps, texts_of, word_ids
+from .common import beside, bounded_sample, one_each, read, steps, texts_of, word_ids
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -110,22 +110,22 @@ def features_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 _, x = statistics(texts_of(part))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    return docs.select("label", "text").mapInArrow(op, "label int, x array<double>")
+    return docs.select("doc_id", "label", "text").mapInArrow(op, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> boost.Trees:
-    """Trees fitted on at most `most` labelled documents outside the held-out fifth.
+    """Trees fitted on at most `most` labelled documents outside the held-out fifth, one row of each doc_id.
 
     No label, or one class only: a model that keeps every document.
     """
     sample = bounded_sample(labels, "quality", most)
-    rows = features_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).collect()
-    y = np.array([r[0] > 0 for r in rows], float)
+    rows = one_each(features_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))).collect()
+    y = np.array([r["label"] > 0 for r in rows], float)
     if not rows or y.min() == y.max():
         return boost.constant(0.999)
-    x = np.array([r[1] for r in rows])
+    x = np.array([r["x"] for r in rows])
     order = np.lexsort([*x.T, y])  # rows come back in any order
     return boost.fit(x[order], y[order], MONOTONE)
 
@@ -157,9 +157,8 @@ def judge(docs: DataFrame, model: boost.Trees, threshold: float = 0.5) -> DataFr
 
 def passing(docs: DataFrame, model: boost.Trees) -> DataFrame:
     """The rows of docs that are kept, with all columns of docs as they are."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("_row")) if set(docs.columns) & {*BASE, "base_failed", "score", "kept"} else docs
-    kept = judge(rows, model).where("kept")
-    return kept.select("_row.*" if rows is not docs else docs.columns)
+    rest, back = beside(docs, "text")
+    return judge(docs.select("text", *rest), model).where("kept").select(*[back(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, read, steps, texts_of, word_ids
+from .common import bounded_sample, held_out, one_each, read, steps, texts_of, word_ids
 
 BUCKETS = 1 << 18
 GRAMS = (1, 2, 3)
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int = DIMS, epochs
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """A model fitted on at most `most` labelled documents outside the held-out fifth.
+    """A model fitted on at most `most` labelled documents outside the held-out fifth, one row of each doc_id.
 
     No label, or one class only: every document gets the smoothed share of label 1.
     """
@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
     sample = bounded_sample(labels, "quality", most)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    found = sorted(map(tuple, picked.mapInArrow(op, "doc_id bigint, label int, idx binary, cnt binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
+    rows = one_each(picked.mapInArrow(op, "doc_id bigint, label int, idx binary, cnt binary"))
+    found = sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
     rows = []
     for _, y, idx, cnt in found:
         c = np.frombuffer(cnt, np.float32)

@@ -181,10 +181,16 @@ def near_copies(docs: DataFrame, near_pairs: Callable[[DataFrame], DataFrame] |
 
 
 def deduplicated(docs: DataFrame, near_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id (none comes last), then least text hash."""
-    rows = rowed(docs, _id=F.col("doc_id"), _node=node_of(F.col("text")))
+    """docs with one row of each class: that of its least doc_id (none comes last), then least text hash.
+
+    A second hash tells apart texts that share a node by chance: only equal ones are then copies.
+    """
+    other = F.xxhash64(F.lit(1), F.coalesce(F.col("text"), F.lit("")))
+    rows = rowed(docs, _id=F.col("doc_id"), _node=node_of(F.col("text")), _other=other)
     reach = near_copies(docs, near_pairs).withColumnRenamed("node", "_node")
-    of = docs.select(F.col("doc_id").alias("_id"), node_of(F.col("text")).alias("_node")).join(reach.hint("merge"), "_node", "left").withColumn("component", F.coalesce("component", "_node"))
-    keep = of.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("k")).select(F.col("k._id").alias("_keep_id"), F.col("k._node").alias("_keep"))
-    got = rows.join(keep.hint("merge"), (F.col("_node") == F.col("_keep")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return got.dropDuplicates(["_node", "_id"]).select(*unrowed(docs.columns))
+    of = docs.select(F.col("doc_id").alias("_id"), node_of(F.col("text")).alias("_node"), other.alias("_other")).groupBy("_node", "_other").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).alias("k"))
+    one = of.groupBy("_node").agg(F.min("_other").alias("x"), F.max("_other").alias("y")).select("_node", (F.col("x") != F.col("y")).alias("_shared"))
+    of = of.join(one.hint("merge"), "_node").join(reach.hint("merge"), "_node", "left").withColumn("component", F.coalesce("component", "_node"))
+    keep = of.groupBy("component", F.when(F.col("_shared"), F.struct("_node", "_other")).alias("own")).agg(F.min(F.struct("k", "_node", "_other")).alias("k")).select(F.col("k.k._id").alias("_keep_id"), F.col("k._node").alias("_keep"), F.col("k._other").alias("_keep_other"))
+    got = rows.join(keep.hint("merge"), (F.col("_node") == F.col("_keep")) & (F.col("_other") == F.col("_keep_other")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+    return got.dropDuplicates(["_node", "_other", "_id"]).select(*unrowed(docs.columns))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, read, steps, texts_of, word_ids, written
+from .common import bounded_sample, one_each, read, steps, texts_of, word_ids, written
 
 #: Labelled rows the model is fitted on, at most, and features it keeps, at most: those with the largest z.
 MAX_TRAIN, MAX_FEATURES = 20_000, 2_000
@@ -86,12 +86,13 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 400, ridge
     return Model(names, par[:-k], cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_features: int = MAX_FEATURES, least_z: float = LEAST_Z) -> Model:
     """A model fitted on at most `most` labelled documents outside the held-out fifth.
 
     Grades come from the labels alone: labels.grade (0 to GRADES - 1) where there is one,
     else 0 for a document that is not toxic, 1 for a toxic one and 2 for a toxic one that is
-    labelled of low quality as well. Without both toxic and other documents the model finds
+    labelled of low quality as well. Kept are the `most_features` features with the largest z of
+    least_z or more; of a doc_id with several rows or labels one is used. Without both toxic and other documents the model finds
     nothing toxic.
     """
 
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     grade = F.greatest(F.lit(0), F.least(F.col("grade"), F.lit(GRADES - 1))) if "grade" in labels.columns else F.when(F.col("toxic") > 0, 1 + low).when(F.col("toxic") <= 0, 0)
     sample = bounded_sample(labels.select("doc_id", grade.alias("grade")), "grade", most)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    seen = written(picked.mapInArrow(op, "doc_id bigint, label int, names array<string>"), "features")
+    seen = written(one_each(picked.mapInArrow(op, "doc_id bigint, label int, names array<string>")), "features")
     bad = (F.col("label") > 0).cast("int")
     n = seen.agg(F.count("*"), F.sum(bad)).first()
     if not n[0] or not n[1] or n[0] == n[1]:
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     share = n[1] / n[0]
     counts = seen.select("label", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("all"), F.sum(bad).alias("bad"))
     z = (F.col("bad") - F.col("all") * share) / F.sqrt(F.col("all") * share * (1 - share))
-    told = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).where(F.col("bad") >= F.col("all") * max(0.5, share)).orderBy(F.desc("z"), "name").limit(MAX_FEATURES).collect()
+    told = counts.withColumn("z", z).where(F.col("z") >= least_z).where(F.col("bad") >= F.col("all") * max(0.5, share)).orderBy(F.desc("z"), "name").limit(most_features).collect()
     names = [r["name"] for r in told]
     if not names:
         return Model()
