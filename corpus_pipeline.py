@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import line_dedup, mixing, packing, quality_rules, simhash_vp
-from sketchloom.llm.common import new_folder, read, ship
+from sketchloom.llm.common import beside, new_folder, read, ship
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that they lose; n_chars follows the text."""
-    got = line_dedup.deduplicated(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return got.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+    rest, back = beside(docs, "doc_id", "text")
+    got, lost = line_dedup.deduplicated(docs.select("doc_id", "text", *rest)), F.col("n_dropped") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return got.select(*[F.when(lost, new[c.lower()]).otherwise(back(c)).alias(c) if c.lower() in new else back(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
