@@ -25,7 +25,7 @@ MAX_N, MIN_COUNT, COVERED, TOP = 3, 10, 50, 2000
 #: Words of a part, as suffixes.
 PART_WORDS = 4_000_000
 #: Text bytes whose equal suffixes a task counts before it sends them.
-STEP = 8 << 20
+STEP = 3 << 20
 _TAB = "\t"  # ends each word of a suffix, so that a prefix of words is a prefix of the string
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word
