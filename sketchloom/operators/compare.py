@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges as R
 from .evaluate import correlation
 
 CONFIDENT, MARGIN = 50, 2.0
@@ -36,11 +37,12 @@ def concordance(rows: DataFrame) -> DataFrame:
     aligned, sat = F.col("mm_bin").isNotNull(), F.coalesce("mm_sat", F.lit(False))
     conf = aligned & (F.col("mm_mapq") >= CONFIDENT) & ~sat
     same, kept = F.col("our_chrom") == F.col("mm_chrom"), F.col("margin") >= MARGIN
+    middle = lambda what, digits, on=F.lit(True): F.round(F.lit(R.median(rows.where(on), what)).cast("double"), digits)
     share = lambda what, on, d=4: F.round(F.avg(F.when(on, what.cast("int"))), d)
     return rows.agg(
-        F.count("*").alias("n_reads"), F.round(F.median("len"), 4).alias("read_len_median"), F.round(F.median(F.when(aligned, F.col("mm_ident"))), 4).alias("mm_identity_median"), F.count_if(conf).alias("n_confident"),
+        F.count("*").alias("n_reads"), middle("len", 4).alias("read_len_median"), middle("mm_ident", 4, aligned).alias("mm_identity_median"), F.count_if(conf).alias("n_confident"),
         share(same, conf).alias("chrom"), share(F.abs(F.col("our_bin") - F.col("mm_bin")) <= 1, conf).alias("bin_pm1"), F.count_if(aligned & sat).alias("n_satellite"), share(F.col("mm_mapq") >= 20, aligned & sat, 3).alias("mm_conf_frac"), share(same, aligned & sat, 3).alias("sat_chrom"),
-        F.count_if(~aligned).alias("unaligned"), F.round(F.median(F.when(conf & same, F.col("margin"))), 2).alias("correct_margin_median"), F.round(F.max(F.when(conf & ~same, F.col("margin"))), 3).alias("worst_discordant_margin"), share(~kept, conf).alias("abstain_frac"), share(same, conf & kept).alias("kept_chrom"),
+        F.count_if(~aligned).alias("unaligned"), middle("margin", 2, conf & same).alias("correct_margin_median"), F.round(F.max(F.when(conf & ~same, F.col("margin"))), 3).alias("worst_discordant_margin"), share(~kept, conf).alias("abstain_frac"), share(same, conf & kept).alias("kept_chrom"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neighbours as N
+from .ranges import numbered
 
 
 def quantised(rows: DataFrame, columns: list[str], top: int = 65_535) -> DataFrame:
@@ -78,7 +79,7 @@ def lanes(spans: DataFrame, margin: float = 8.0) -> DataFrame:
     return spans.groupBy("chrom").applyInPandas(pack, f"chrom {kind['chrom']}, id {kind['id']}, lo double, hi double, lane long")
 
 
-def knn_accuracy(vectors: DataFrame, k: int = 10, n_folds: int = 5, least: int = 10) -> DataFrame:
+def knn_accuracy(vectors: DataFrame, k: int = 10, n_folds: int = 5, least: int = 10, exact_rows: int = N.EXACT_ROWS) -> DataFrame:
     """One row (n, accuracy): majority vote of the k nearest of the other folds, over labels of `least` rows or more.
 
     vectors: (id, z, label). Folds are row numbers within a label modulo n_folds; excluding
@@ -86,16 +87,15 @@ def knn_accuracy(vectors: DataFrame, k: int = 10, n_folds: int = 5, least: int =
     """
     big = vectors.join(vectors.groupBy("label").count().where(F.col("count") >= least).select("label"), "label", "left_semi")
     rows = N.folds(big, n_folds).withColumn("chrom", F.col("fold").cast("long")).withColumn("pos", F.lit(0).cast("long"))
-    near = N.knn(rows, k, "euclidean", apart=0).withColumn("sim", F.lit(1.0))
+    near = N.neighbours(rows, k, "euclidean", 0, exact_rows).withColumn("sim", F.lit(1.0))
     return N.vote(near, rows.select("id", "label")).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
 
 
-def knn_r2(vectors: DataFrame, value: str, k: int = 15, n_folds: int = 5) -> DataFrame:
+def knn_r2(vectors: DataFrame, value: str, k: int = 15, n_folds: int = 5, exact_rows: int = N.EXACT_ROWS) -> DataFrame:
     """One row (r2): the mean over contiguous folds by id of the R2 of k-nearest-neighbour regression from the other folds."""
     n = vectors.count()
-    place = F.row_number().over(Window.orderBy("id")) - 1  # bins, not reads
-    rows = vectors.withColumn("chrom", F.floor(place * n_folds / n).cast("long")).withColumn("pos", F.lit(0).cast("long"))
-    near = N.knn(rows, k, "euclidean", apart=0)
+    rows = numbered(vectors, "id").withColumn("chrom", F.floor(F.col("_n") * n_folds / n).cast("long")).drop("_n").withColumn("pos", F.lit(0).cast("long"))
+    near = N.neighbours(rows, k, "euclidean", 0, exact_rows)
     guess = near.join(rows.select(F.col("id").alias("other"), F.col(value).alias("v")), "other").groupBy("id").agg(F.avg("v").alias("guess"))
     both = rows.join(guess, "id")
     fold = both.groupBy("chrom").agg((1 - F.sum((F.col(value) - F.col("guess")) ** 2) / (F.count("*") * F.var_pop(value))).alias("r2"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import accumulated, first_rows
+
 
 def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -56,12 +58,7 @@ def average_ranks(counts: DataFrame, value: str) -> DataFrame:
     Values are dealt to ranges; a range is ranked in one task and starts where the ranges
     before it end, so no task orders all values.
     """
-    parts = counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()).persist()
-    own = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ends = parts.groupBy("_part").agg(F.sum("n").alias("_all"))  # one row a range
-    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = parts.withColumn("_own", F.sum("n").over(own)).join(F.broadcast(ends.withColumn("_before", before)), "_part")
-    return out.withColumn("rank", F.col("_before") + F.col("_own") - (F.col("n") - 1) / 2).drop("_part", "_own", "_all", "_before")
+    return accumulated(counts, value).withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2).drop("_before")
 
 
 def auc_by(rows: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
@@ -123,7 +120,7 @@ def parent_majority(rows: DataFrame) -> DataFrame:
 
 def sampled_pairs(pairs: DataFrame, most: int) -> DataFrame:
     """At most `most` pairs (a, b), by the MD5 of their names: a sampling operator."""
-    return pairs.orderBy(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))).limit(most)
+    return first_rows(pairs, most, F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))), "a", "b")
 
 
 def explained(rows: DataFrame, cluster: str, value: str) -> DataFrame:
@@ -136,7 +133,7 @@ def close_recall(pairs: DataFrame, near: str, by: str, share: float) -> DataFram
     """One row (n, recall): of the pairs nearest by `near`, the part that is nearest by `by` too; ties by (a, b)."""
     n = pairs.count()
     top = max(1, math.ceil(n * share))
-    first, second = (pairs.orderBy(F.desc(c), "a", "b").limit(top).select("a", "b") for c in (near, by))
+    first, second = (first_rows(pairs, top, F.desc(c), "a", "b").select("a", "b") for c in (near, by))
     return first.join(second.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
@@ -147,7 +144,7 @@ def agreement(pairs: DataFrame, exact: str, model: str, near: float, within: flo
     among the `within` share closest by the model; ties by (a, b).
     """
     n = pairs.count()
-    first, second = (pairs.orderBy(c, "a", "b").limit(max(1, math.ceil(n * share))).select("a", "b") for c, share in ((exact, near), (model, within)))
+    first, second = (first_rows(pairs, max(1, math.ceil(n * share)), c, "a", "b").select("a", "b") for c, share in ((exact, near), (model, within)))
     hit = first.join(second.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
     return correlation(pairs, exact, model).select(F.lit(n).cast("long").alias("n"), "spearman").crossJoin(hit)  # one row each
 

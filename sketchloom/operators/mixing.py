@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import neighbours as N
 
 
-def promiscuity(vectors: DataFrame, k: int = 15, apart: int = 5, least: int = 50) -> DataFrame:
+def promiscuity(vectors: DataFrame, k: int = 15, apart: int = 5, least: int = 50, exact_rows: int = N.EXACT_ROWS) -> DataFrame:
     """(id, chrom, promiscuity, vote) of vectors (id, z, chrom, pos), all of one group of chromosomes.
 
     promiscuity: the share of another chromosome among the k nearest that are not next to
@@ -16,7 +16,7 @@ def promiscuity(vectors: DataFrame, k: int = 15, apart: int = 5, least: int = 50
     0 each), the smallest on ties; a row without such neighbours votes for its own. No rows
     for groups of under `least`.
     """
-    near = N.knn(vectors, k, apart=apart).join(vectors.select(F.col("id").alias("other"), F.col("chrom").alias("of")), "other")
+    near = N.neighbours(vectors, k, apart=apart, exact_rows=exact_rows).join(vectors.select(F.col("id").alias("other"), F.col("chrom").alias("of")), "other")
     own = vectors.select("id", "chrom")
     both = near.join(own, "id")
     share = both.groupBy("id").agg(F.avg((F.col("of") != F.col("chrom")).cast("int")).alias("promiscuity"))

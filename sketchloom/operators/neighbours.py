@@ -1,17 +1,33 @@
-"""Exact nearest neighbours in blocks, and what is voted from them.
+"""Nearest neighbours, exact in blocks or by descent over a graph, and what is voted from them.
 
-vectors: (id, z array<double>, ...). Pairs of blocks are compared in numpy and only each
-row's k best leave a comparison, so no pair list is ever made.
+vectors: (id, z array<double>, ...). The exact search compares pairs of blocks in numpy and
+only each row's k best leave a comparison, so no pair list is ever made; its work is the
+square of the rows. The descent looks among the neighbours of neighbours, so its work
+grows with the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_folder, new_folder
+
 BLOCK_ROWS = 4096
+#: Rows up to which neighbours() is exact.
+EXACT_ROWS = 200_000
+#: Rows that are compared at the start of a descent with each other, and how often rows are dealt to such blocks.
+START_BLOCK, STARTS = 256, 3
+
+
+def neighbours(vectors: DataFrame, k: int, metric: str = "cosine", apart: int | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """knn() of up to exact_rows vectors, nn_descent() of more."""
+    search = knn if vectors.count() <= exact_rows else nn_descent
+    return search(vectors, k, metric, apart)
 
 
 def knn(vectors: DataFrame, k: int, metric: str = "cosine", apart: int | None = None) -> DataFrame:
@@ -62,6 +78,88 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", apart: int | None =
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "sim")
 
 
+def _closeness(z: np.ndarray, metric: str) -> np.ndarray:
+    """All similarities of the rows of z, as knn() counts them."""
+    if metric == "cosine":
+        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        return np.round(z @ z.T, 9)
+    size = (z**2).sum(1)
+    return np.round(-np.sqrt(np.maximum(size[:, None] - 2 * z @ z.T + size[None, :], 0)), 9)
+
+
+def _matrix(z: pa.Array) -> np.ndarray:
+    return z.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(z), -1)
+
+
+def nn_descent(vectors: DataFrame, k: int, metric: str = "cosine", apart: int | None = None, wide: int | None = None, rounds: int = 12, stop: float = 0.001) -> DataFrame:
+    """(id, rank, other, sim) as knn(), found by descent: approximate, and linear in the rows.
+
+    A graph holds `wide` others of each row (twice k and ten by default), at first the best
+    of some hundred by chance. In a round, the others of each row and rows that hold it meet
+    pairwise, if one of the two is new in its place; what is nearer than the last of a row's
+    others takes its place. It ends when under `stop` of the places change. Of the rows that
+    hold a row, one meets for each of `wide` shares of them, so a common neighbour is no hot group.
+    """
+    wide, n = wide or 2 * k + 10, vectors.count()
+    spark, spot = vectors.sparkSession, [c for c in ("chrom", "pos") if apart is not None]
+    vectors = vectors.select("id", "z", *spot)
+
+    def near(at: list[np.ndarray]) -> np.ndarray:
+        return (at[0][:, None] == at[0][None, :]) & (np.abs(at[1][:, None] - at[1][None, :]) <= apart) if at else np.zeros((1, 1), bool)
+
+    def within(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        s = _closeness(_matrix(table.column("z").combine_chunks()), metric)
+        s[(ids[:, None] == ids[None, :]) | near([table.column(c).to_numpy() for c in spot])] = -np.inf
+        top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :wide]]
+        sim = np.take_along_axis(s, top, 1)
+        r, c = np.nonzero(np.isfinite(sim))
+        return pa.table({"id": ids[r], "other": ids[top[r, c]], "sim": sim[r, c]})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+            lists = batch.column(0)
+            rows, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            ids, last, new, z = rows.field("id").to_numpy(), rows.field("last").to_numpy(zero_copy_only=False), rows.field("new").to_numpy(zero_copy_only=False), _matrix(rows.field("z"))
+            at = [rows.field(c).to_numpy() for c in spot]
+            for a, b in zip(ends[:-1], ends[1:]):
+                s = _closeness(z[a:b], metric)
+                found = (s > last[a:b, None]) & (new[a:b, None] | new[None, a:b]) & (ids[a:b, None] != ids[None, a:b])
+                i, j = np.nonzero(found & ~near([x[a:b] for x in at]))
+                for o, v in zip(out, (ids[a:b][i], ids[a:b][j], s[i, j])):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["id", "other", "sim"])
+
+    def merged(old: DataFrame | None, found: DataFrame) -> tuple[DataFrame, str]:
+        both = found.select("id", "other", "sim", F.lit(True).alias("new"))
+        both = both if old is None else both.union(old.withColumn("new", F.lit(False)))
+        best = both.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
+        best, path = best.withColumn("rank", rank).where(F.col("rank") <= wide).drop("rank"), new_folder(spark, "graph")
+        best.write.parquet(path)
+        return spark.read.schema(best.schema).parquet(path), path
+
+    blocks = max(1, n // START_BLOCK)
+    dealt = vectors.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS if blocks > 1 else 1)))).withColumn("block", F.pmod(F.xxhash64("id", "start"), F.lit(blocks)))
+    graph, path = merged(None, dealt.groupBy("start", "block").applyInArrow(within, "id bigint, other bigint, sim double"))
+    for i in range(rounds):
+        last = graph.groupBy("id").agg(F.when(F.count("*") == wide, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("last"))
+        holders = graph.groupBy(F.col("other").alias("of"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(wide)).alias("share")).agg(F.min(F.struct(F.xxhash64("id").alias("tie"), "id", "new")).alias("x")).select("of", F.col("x.id").alias("id"), F.col("x.new").alias("new"))
+        meets = graph.select(F.col("id").alias("of"), F.col("other").alias("id"), "new").union(holders).groupBy("of", "id").agg(F.max("new").alias("new"))
+        rows = meets.join(vectors, "id").join(last, "id", "left").withColumn("last", F.coalesce("last", F.lit(float("-inf"))))
+        lists = rows.groupBy("of").agg(F.collect_list(F.struct("id", "last", "new", "z", *spot)).alias("rows")).where(F.array_max(F.transform("rows", lambda x: x["new"]))).select("rows")
+        old = path
+        graph, path = merged(graph, lists.mapInArrow(meet, "id bigint, other bigint, sim double"))
+        drop_folder(spark, old)
+        if graph.where("new").count() <= stop * n * wide:
+            break
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other")).cast("long")
+    return graph.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "sim")
+
+
 def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label, predicted): labels (id, label) weighed by similarity (at least 0), the first label on ties.
 

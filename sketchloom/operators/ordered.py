@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges as R
+
 #: Edges of the period bands: 89 bands of equal ratio from 60 to 100,000.
 EDGES = [float(x) for x in np.geomspace(60, 100_000, 90)]
 MIN_GAPS = 15
@@ -143,11 +145,12 @@ def period_summary(rows: DataFrame, strong: float = 0.3, least: int = 10, least_
     """
     live, rdna = F.col("live") & (F.col("strength") > strong), F.col("rdna") & (F.col("strength") > strong)
     n, m = F.count_if(live), F.count_if(rdna)
-    got = rows.agg(F.when(n >= least, F.median(F.when(live, F.col("period")))).alias("live_period"), F.when(n >= least, F.round(n / F.greatest(F.count_if("live"), F.lit(1)), 3)).alias("live_periodic"), F.when(m >= least_rdna, F.round(F.median(F.when(rdna, F.col("period"))), 1)).alias("rdna_period"))
+    middle = lambda on: F.lit(R.median(rows.where(on), "period")).cast("double")
+    got = rows.agg(F.when(n >= least, middle(live)).alias("live_period"), F.when(n >= least, F.round(n / F.greatest(F.count_if("live"), F.lit(1)), 3)).alias("live_periodic"), F.when(m >= least_rdna, F.round(middle(rdna), 1)).alias("rdna_period"))
     return got.select(F.round("live_period", 1).alias("live_period"), F.round(F.col("live_period") / MONOMER, 2).alias("live_monomers"), "live_periodic", "rdna_period")
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, place): distinct keys numbered from 0 in the order in which `order` first shows them."""
     first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("_first", key)) - 1).cast("long").alias("place"))  # one row a key
+    return R.numbered(first, "_first", key).select(key, F.col("_n").cast("long").alias("place"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-
+from .products import products
 
 
 def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
@@ -128,14 +128,13 @@ def tfidf(sketch: DataFrame, n_bins: int | Column, min_df: int = 2) -> DataFrame
 def pairs(sketch: DataFrame, k: int) -> DataFrame:
     """(contig_a, bin_a, contig_b, bin_b, inter, jacc, maxc, cani) of all pairs of bins that share a hash, a before b.
 
-    Exact. Hashes of one bin only cannot contribute and leave before the self-join; equal
-    bins keep their own rows, since the result is one row a pair.
+    Exact. Hashes of one bin only cannot contribute and leave; equal bins keep their own
+    rows, since the result is one row a pair.
     """
     one = sketch.select("contig", "bin", "h")
-    shared = one.join(document_frequency(sketch).where("df > 1").select("h"), "h", "left_semi")
     sizes = one.groupBy("contig", "bin").agg(F.count("*").alias("size"))
-    a, b = (shared.select(F.struct("contig", "bin").alias(x), "h") for x in "ab")
-    inter = a.join(b, "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("inter"))
+    inter = products(one.select(F.struct("contig", "bin").alias("row"), "h"))
+    inter = inter.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n").alias("inter"))
     of = lambda x: sizes.select(F.struct("contig", "bin").alias(x), F.col("size").alias(f"size_{x}"))
     both = inter.join(of("a"), "a").join(of("b"), "b")
     maxc = F.col("inter") / F.least("size_a", "size_b")
@@ -164,7 +163,7 @@ def top_hits(query: DataFrame, sketch: DataFrame, k: int = 8) -> DataFrame:
     """
     q = query.select("query", "h").distinct()
     size_q, size_b = q.groupBy("query").agg(F.count("*").alias("size_q")), sketch.groupBy("contig", "bin").agg(F.count("*").alias("size_b"))
-    inter = q.join(sketch.select("contig", "bin", "h"), "h").groupBy("query", "contig", "bin").agg(F.count("*").alias("inter"))
+    inter = products(q.withColumnRenamed("query", "row"), sketch.select(F.struct("contig", "bin").alias("row"), "h")).select(F.col("a").alias("query"), "b.contig", "b.bin", F.col("n").alias("inter"))
     scored = inter.join(size_q, "query").join(size_b, ["contig", "bin"]).withColumn("jacc", F.col("inter") / (F.col("size_q") + F.col("size_b") - F.col("inter")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("jacc"), "contig", "bin"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query", "rank", "contig", "bin", "jacc")

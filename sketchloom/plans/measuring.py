@@ -23,7 +23,7 @@ def vectors(spark, sf_dir):
 
 def predicted(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return N.vote(N.knn(rows, 10, apart=5), rows)
+    return N.vote(N.neighbours(rows, 10, apart=5), rows)
 
 
 @query(f"WITH {SQL_VOTE} SELECT id, label, predicted FROM pred")
@@ -31,6 +31,12 @@ def k1_excluded_vote(spark, sf_dir):
     return predicted(spark, sf_dir)
 
 
+@query(f"""WITH {SQL_VEC} SELECT id, rank, other, round(sim, 6) AS sim FROM (SELECT a.id, b.id AS other, {_SQL_SIM} AS sim, row_number() OVER (PARTITION BY a.id ORDER BY {_SQL_SIM} DESC, b.id) AS rank FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0) WHERE rank <= 10""")
+def j5_nn_descent(spark, sf_dir):
+    """The graph of all rows by descent, and what it holds of the rows whose id 100 divides: their exact neighbours."""
+    return N.nn_descent(vectors(spark, sf_dir), 10).where(F.col("id") % 100 == 0).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"WITH {SQL_VOTE} SELECT label, predicted, count(*) AS n FROM pred GROUP BY ALL")
 def f17_confusion(spark, sf_dir):
     return E.confusion(predicted(spark, sf_dir), "label", "predicted")
@@ -47,7 +53,7 @@ m AS (SELECT v.id, (SELECT count(*) FROM near n JOIN near2 p ON n.id = p.id AND
 SELECT id, round(m / (20 - m), 6) AS jaccard FROM m""")
 def i3_neighbor_overlap(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    got = N.overlap(N.knn(rows, 10), N.knn(rows.withColumn("z", F.slice("z", 1, 32)), 10), 10)
+    got = N.overlap(N.neighbours(rows, 10), N.neighbours(rows.withColumn("z", F.slice("z", 1, 32)), 10), 10)
     return got.withColumn("jaccard", F.round("jaccard", 6))
 
 
