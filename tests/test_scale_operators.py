@@ -95,3 +95,35 @@ def test_descent_keeps_apart_and_common_neighbours(spark):
     exact = {(r["id"], r["other"]) for r in N.neighbours(df, 5, apart=2).collect()}
     assert all(r["id"] % 3 != r["other"] % 3 or abs(r["id"] // 3 - r["other"] // 3) > 2 for r in found)
     assert len({(r["id"], r["other"]) for r in found} & exact) / len(exact) >= 0.95
+
+
+@pytest.mark.parametrize("block_rows, entries_of_tile", [(8192, 65_536), (20, 100)])
+def test_svd_keeps_weak_directions(spark, monkeypatch, block_rows, entries_of_tile):
+    """Singular values from 1 to 1e-9, of a matrix in one tile and in many."""
+    from sketchloom.operators import linear as L
+
+    monkeypatch.setattr(L, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(L, "ENTRIES", entries_of_tile)
+    rng = np.random.default_rng(4)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 10)))[0] for n in (90, 50))
+    sigma = 10.0 ** -np.arange(10)
+    a = u * sigma @ v.T
+    x = spark.createDataFrame([(f"r{i}", j, float(a[i, j])) for i in range(90) for j in range(50)], "row string, h bigint, w double").repartition(5)
+    z, got = L.subspace_svd(x, 10, extra=2)
+    assert got == pytest.approx(sigma, rel=1e-5)
+    rows = {r["row"]: np.array(r["z"]) for r in z.collect()}
+    zz = np.array([rows[f"r{i}"] for i in range(90)])
+    assert np.abs(zz @ zz.T - a @ a.T).max() < 1e-12
+    cut, got = L.subspace_svd(x, 3, extra=1)
+    assert got == pytest.approx(sigma[:3], rel=1e-6)
+
+
+def test_svd_of_less(spark):
+    from sketchloom.operators import linear as L
+
+    one = spark.createDataFrame([(1, 5, 2.0), (2, 5, 0.0), (1, 6, 0.0)], "row bigint, h bigint, w double")
+    z, sigma = L.subspace_svd(one, 4)
+    assert sigma[0] == pytest.approx(2) and {r["row"]: abs(r["z"][0]) for r in z.collect()} == {1: pytest.approx(2), 2: pytest.approx(0)}
+    for rows in ([], [(1, 1, 0.0)]):
+        z, sigma = L.subspace_svd(spark.createDataFrame(rows, "row bigint, h bigint, w double"), 4)
+        assert len(sigma) == 0 and z.count() == len(rows)
