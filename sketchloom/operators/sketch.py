@@ -25,18 +25,23 @@ def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
 
 def hits(contigs: DataFrame, k: int = 21, scaled: int = 20, seed: int = 42) -> DataFrame:
     """(contig, pos, h) of the kept canonical k-mers under MurmurHash3, by the vectorised kernel."""
-    return _hits(contigs, k, S.max_hash(scaled), lambda c, k: S.hash_codes(c, k, seed))
+    return _hits(chunked(contigs, k), k, S.max_hash(scaled), lambda c, k: S.hash_codes(c, k, seed))
+
+
+def piece_hits(pieces: DataFrame, k: int = 21, scaled: int = 20, seed: int = 42) -> DataFrame:
+    """hits() of contigs in pieces (contig, at, seq) that overlap by k - 1 bases."""
+    return _hits(pieces.select("contig", "at", "seq"), k, S.max_hash(scaled), lambda c, k: S.hash_codes(c, k, seed))
 
 
 def portable_hits(contigs: DataFrame, k: int = 21, scaled: int = 20) -> DataFrame:
     """As hits(), with the portable hash."""
-    return _hits(contigs, k, (1 << S.PORTABLE_BITS) // scaled, S.portable_hashes)
+    return _hits(chunked(contigs, k), k, (1 << S.PORTABLE_BITS) // scaled, S.portable_hashes)
 
 
-def _hits(contigs: DataFrame, k: int, keep: int, hashed) -> DataFrame:
+def _hits(pieces: DataFrame, k: int, keep: int, hashed) -> DataFrame:
     if not 4 <= k <= 31:
         raise ValueError("k must lie in 4 .. 31")
-    key = contigs.schema["contig"].dataType.simpleString()
+    key = pieces.schema["contig"].dataType.simpleString()
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +57,7 @@ def _hits(contigs: DataFrame, k: int, keep: int, hashed) -> DataFrame:
             at = batch.column(1).take(row).to_numpy() + pos - begin[own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
 
-    return chunked(contigs, k).mapInArrow(op, f"contig {key}, pos bigint, h bigint")
+    return pieces.mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 
 
 def kmers(contigs: DataFrame, k: int, piece: int = 256) -> DataFrame:
@@ -76,7 +81,15 @@ def store(found: DataFrame, bin_bp: int) -> DataFrame:
 
 def bins(contigs: DataFrame, bin_bp: int) -> DataFrame:
     """(contig, bin, start, end, acgt, gc) of every bin; gc is a share of the valid bases."""
-    each = contigs.select("contig", F.length("seq").cast("long").alias("len"), F.posexplode(S.pieces(F.col("seq"), bin_bp, 0)).alias("bin", "part")).withColumn("bin", F.col("bin").cast("long"))
+    return piece_bins(contigs.select("contig", F.lit(0).cast("long").alias("at"), "seq", F.length("seq").cast("long").alias("length")), bin_bp)
+
+
+def piece_bins(pieces: DataFrame, bin_bp: int, size: int | None = None) -> DataFrame:
+    """bins() of contigs in pieces (contig, at, seq, length) of `size` own bases, a multiple of bin_bp."""
+    if size is not None and size % bin_bp:
+        raise ValueError("a bin must lie in one piece")
+    own = F.col("seq") if size is None else F.substring("seq", 1, size)
+    each = pieces.select("contig", F.col("length").alias("len"), "at", F.posexplode(S.pieces(own, bin_bp, 0)).alias("bin", "part")).withColumn("bin", F.expr(f"at div {bin_bp}") + F.col("bin")).drop("at")
     part = F.upper("part")
     count = lambda letters: F.length(F.regexp_replace(part, f"[^{letters}]", "")).cast("long")
     out = each.select("contig", "bin", (F.col("bin") * bin_bp).alias("start"), F.least((F.col("bin") + 1) * bin_bp, F.col("len")).alias("end"), count("ACGT").alias("acgt"), count("GC").alias("gcs"))

@@ -15,9 +15,10 @@ from ..operators import project as P
 from ..operators import scans as C
 from ..operators import sketch as K
 from ..operators.linear import gram
+from ..params import Params
 from ..session import new_folder
 from ..sources import files
-from .base import contigs, query, read, sql_hits
+from .base import BIN, KMER, SCALED, SQL_STORE, contigs, doc_store, query, read, sql_hits
 from .measuring import SQL_CLUSTERS, SQL_VEC, clustered, vectors
 from .ordering import SQL_COVER, dimension, shares, track
 from .scanning import BIN_BP, PER_CHROM, SQL_SCAN, SQL_TRIAGE, places, scan
@@ -174,8 +175,8 @@ def b10_scan_sink(spark, sf_dir):
     """A scan with its lists, written and read again."""
     path = new_folder(spark, "sink")
     rows = scan(spark, sf_dir).withColumn("hits", F.col("ehits")).withColumn("sims", F.col("ejacc"))
-    files.write_result(rows, path, "scan")
-    return spark.read.parquet(path).select("contig", "w", F.round("cover", 6).alias("cover"), F.array_join(F.transform("ehits", lambda x: x.cast("string")), ",").alias("ehits"))
+    files.write_result({"rows": rows}, path, "scan")
+    return files.read_result(spark, path, "scan")["rows"].select("contig", "w", F.round("cover", 6).alias("cover"), F.array_join(F.transform("ehits", lambda x: x.cast("string")), ",").alias("ehits"))
 
 
 @query(f"{SQL_TRIAGE} SELECT contig, n_win, orient, jumps FROM triage")
@@ -183,18 +184,37 @@ def b12_triage_sink(spark, sf_dir):
     """Triage rows as text and JSON, read from the text and checked against the JSON."""
     path, rows = new_folder(spark, "sink"), C.triage(scan(spark, sf_dir), places(spark), BIN_BP)
     files.write_triage(rows, path)
-    text = spark.read.csv(f"{path}/tsv", sep="\t", header=True, schema=rows.schema).select("contig", "n_win", "orient", "jumps")
-    return text.join(spark.read.schema(rows.schema).json(f"{path}/json").select("contig", "n_win"), ["contig", "n_win"], "left_semi")
+    text = files.read_table(spark, path, schema=rows.schema).select("contig", "n_win", "orient", "jumps")
+    return text.join(files.read_json(spark, path, rows.schema).select("contig", "n_win"), ["contig", "n_win"], "left_semi")
 
 
 @query("SELECT source AS id, count(*) AS n, list_sort(list(DISTINCT lang))[1] AS first FROM documents GROUP BY source")
 def b11_json_sink(spark, sf_dir):
-    """Nested rows as JSON by write and rename, written twice and read again."""
+    """Nested rows as JSON, published twice and read again."""
     path = new_folder(spark, "sink")
     rows = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lang")).alias("langs"))
     for part in (rows.limit(1), rows):
         files.write_json(part, path)
-    return spark.read.schema(rows.schema).json(path).select("id", "n", F.get("langs", F.lit(0)).alias("first"))
+    return files.read_json(spark, path, rows.schema).select("id", "n", F.get("langs", F.lit(0)).alias("first"))
+
+
+@query(f"WITH store AS ({SQL_STORE}) SELECT contig, count(*) AS hashes, CAST(sum(n) AS BIGINT) AS hits FROM store GROUP BY contig")
+def b1_store_sink(spark, sf_dir):
+    """The store of the documents with its bins, published over an older one and read under its parameters."""
+    path, params = new_folder(spark, "sink"), Params(k=KMER, base_scaled=SCALED, bin_bp=BIN)
+    whole, dim = doc_store(spark, sf_dir), K.bins(contigs(spark, sf_dir), BIN)
+    for sketch in (whole.limit(10), whole):
+        files.write_store(sketch, dim, path, params)
+    return files.read_store(spark, path, params)[0].groupBy("contig").agg(F.count("*").alias("hashes"), F.sum("n").alias("hits"))
+
+
+@query("SELECT 'documents' AS stage, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'labels', 'rows', CAST(count(*) AS DOUBLE) FROM labels")
+def b7_metrics_sink(spark, sf_dir):
+    """Metrics of two stages; writing one again leaves the other."""
+    path = new_folder(spark, "sink")
+    for table in ("labels", "documents", "documents"):
+        files.write_metrics(read(spark, sf_dir, table).agg(F.lit("rows").alias("name"), F.count("*").cast("double").alias("value")), path, table)
+    return files.read_metrics(spark, path)
 
 
 _SQL_AB = f"""WITH store AS MATERIALIZED (SELECT contig, h, count(*) AS n FROM ({sql_hits(21, "benchmark", "item_id", (1 << 60) // 5)}) GROUP BY ALL), nb AS (SELECT count(DISTINCT contig) AS n_bins FROM store), df AS (SELECT h, count(*) AS df FROM store GROUP BY h),
