@@ -91,6 +91,17 @@ def knn_accuracy(vectors: DataFrame, k: int = 10, n_folds: int = 5, least: int =
     return N.vote(near, rows.select("id", "label")).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
 
 
+def knn_r2_many(vectors: DataFrame, values: list[str], k: int = 15, n_folds: int = 5, exact_rows: int = N.EXACT_ROWS) -> DataFrame:
+    """One row with the knn_r2() of each of several values (id, z, values), from one search; a value that does not vary in a fold counts as 0 there."""
+    n = vectors.count()
+    rows = numbered(vectors, "id").withColumn("chrom", F.floor(F.col("_n") * n_folds / F.lit(max(n, 1))).cast("long")).withColumn("pos", F.lit(0).cast("long")).drop("_n")
+    near = N.neighbours(rows, k, "euclidean", 0, exact_rows)
+    guess = near.join(rows.select(F.col("id").alias("other"), *values), "other").groupBy("id").agg(*[F.avg(v).alias(f"guess_{v}") for v in values])
+    r2 = lambda v: F.coalesce(1 - F.sum((F.col(v) - F.col(f"guess_{v}")) ** 2) / F.nullif(F.count("*") * F.var_pop(v), F.lit(0.0)), F.lit(0.0))
+    fold = rows.join(guess, "id").groupBy("chrom").agg(*[r2(v).alias(v) for v in values])
+    return fold.agg(*[F.avg(v).alias(v) for v in values])
+
+
 def knn_r2(vectors: DataFrame, value: str, k: int = 15, n_folds: int = 5, exact_rows: int = N.EXACT_ROWS) -> DataFrame:
     """One row (r2): the mean over contiguous folds by id of the R2 of k-nearest-neighbour regression from the other folds."""
     n = vectors.count()

@@ -164,9 +164,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def best_setting(rows: DataFrame, base: str, slack: float = 0.02) -> DataFrame:
-    """rows (tag, health, score) with able (health within `slack` of the base's) and best: the able one with the largest score, the first tag on ties."""
-    floor = F.max(F.when(F.col("tag") == base, F.col("health"))).over(Window.partitionBy())  # a row a setting: few
-    able = F.col("health") >= floor - slack
+def best_setting(rows: DataFrame, base: str, slack: float = 0.02, health: tuple[str, ...] = ("health",)) -> DataFrame:
+    """rows (tag, health.., score) with able (each health within `slack` of the base's) and best: the able one with the largest score, the first tag on ties."""
+    floor = lambda c: F.max(F.when(F.col("tag") == base, F.col(c))).over(Window.partitionBy())  # noqa: E731  a row a setting: few
+    able = F.lit(True)
+    for c in health:
+        able &= F.col(c) >= floor(c) - slack
     order = Window.partitionBy("able").orderBy(F.desc("score"), "tag")
     return rows.withColumn("able", able).withColumn("best", F.col("able") & (F.row_number().over(order) == 1))

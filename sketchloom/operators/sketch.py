@@ -38,6 +38,37 @@ def portable_hits(contigs: DataFrame, k: int = 21, scaled: int = 20) -> DataFram
     return _hits(chunked(contigs, k), k, (1 << S.PORTABLE_BITS) // scaled, S.portable_hashes)
 
 
+def ladder_hits(contigs: DataFrame, ks: tuple[int, ...], scaled: int = 20, size: int = 1 << 22) -> DataFrame:
+    """(k, contig, pos, h) of the portable hits of several word lengths, from one pass over the bases."""
+    key, keep = contigs.schema["contig"].dataType.simpleString(), (1 << S.PORTABLE_BITS) // scaled
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, codes = _codes(batch.column(2))
+            for k in ks:
+                own, at, h = _kept(begin, codes, k, keep, S.portable_hashes)
+                inside = at < size  # the rest of the overlap belongs to the next piece
+                own, at, h = own[inside], at[inside], h[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), batch.column(0).take(pa.array(own)), pa.array(batch.column(1).take(pa.array(own)).to_numpy() + at), pa.array(h.view(np.int64))], names=["k", "contig", "pos", "h"])
+
+    return chunked(contigs, max(ks), size).mapInArrow(op, f"k int, contig {key}, pos bigint, h bigint")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, codes) of a batch's sequences: their bases as codes, one after another."""
+    seqs = column.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    return offsets - offsets[0], S.encode(np.frombuffer(seqs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+
+
+def _kept(begin: np.ndarray, codes: np.ndarray, k: int, keep: int, hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, place in it, hash) of the kept k-mers that do not run over the end of a sequence."""
+    pos, h = S.sketch_codes(codes, k, keep, hashed)
+    own = np.searchsorted(begin, pos, side="right") - 1
+    inside = pos + k <= begin[own + 1]
+    return own[inside], (pos - begin[own])[inside], h[inside]
+
+
 def _hits(pieces: DataFrame, k: int, keep: int, hashed) -> DataFrame:
     if not 4 <= k <= 31:
         raise ValueError("k must lie in 4 .. 31")
@@ -45,17 +76,9 @@ def _hits(pieces: DataFrame, k: int, keep: int, hashed) -> DataFrame:
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = batch.column(2).cast(pa.large_binary())
-            offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
-            data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            begin = offsets - offsets[0]
-            pos, h = S.sketch_codes(S.encode(data), k, keep, hashed)
-            own = np.searchsorted(begin, pos, side="right") - 1
-            inside = pos + k <= begin[own + 1]  # not over the end of a sequence
-            pos, h, own = pos[inside], h[inside], own[inside]
+            own, at, h = _kept(*_codes(batch.column(2)), k, keep, hashed)
             row = pa.array(own)
-            at = batch.column(1).take(row).to_numpy() + pos - begin[own]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(batch.column(1).take(row).to_numpy() + at), pa.array(h.view(np.int64))], names=["contig", "pos", "h"])
 
     return pieces.mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 

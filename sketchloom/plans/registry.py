@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import displaying, judging, measuring, modelling, ordering, projecting, scanning, sketching  # noqa: F401
+from . import displaying, judging, labs, measuring, modelling, ordering, projecting, scanning, sketching  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
