@@ -16,6 +16,7 @@ from ..operators import project as P
 from ..operators.evaluate import best_setting, dot, unit, whitened
 from ..session import written
 from .base import KMER, SCALED, contigs, query, read, sql_hits, sql_seqs
+from .projecting import sql_found
 
 
 def embedded(spark, sf_dir):
@@ -227,28 +228,57 @@ def fragments(spark, sf_dir, many: int):
     return cut.select("contig", "stratum", "i", "kind").join(M.order_rows(rows.withColumn("mb", F.col("mb") / _WIN), 4), "contig").drop("contig")
 
 
-@query(f"""WITH d AS ({sql_seqs()}), b AS (SELECT contig, unnest(range(0, (length(seq) - 1) // {_WIN} + 1)) AS b FROM d WHERE length(seq) > 0), w AS (SELECT contig, b, avg(CASE WHEN contig % 3 = 0 THEN 1 ELSE 0 END) OVER o AS share, count(*) OVER o AS n FROM b WINDOW o AS (PARTITION BY contig ORDER BY b ROWS BETWEEN CURRENT ROW AND {_SPAN} FOLLOWING)),
-s AS (SELECT contig, b, CASE WHEN share >= 0.6 THEN 'sat' WHEN share = 0 THEN 'eu' END AS stratum FROM w WHERE n = {_SPAN + 1})
-SELECT * FROM (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(contig || ':' || b)) - 1 AS i, contig, b FROM s WHERE stratum IS NOT NULL) WHERE i < 40""")
+def _sql_spans(most: int) -> str:
+    """(stratum, i, contig, b) of the sampled spans; docs is a CTE."""
+    return f"""SELECT * FROM (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(contig || ':' || b)) - 1 AS i, contig, b FROM (
+  SELECT contig, b, CASE WHEN share >= 0.6 THEN 'sat' WHEN share = 0 THEN 'eu' END AS stratum FROM (
+    SELECT contig, b, avg(CASE WHEN contig % 3 = 0 THEN 1 ELSE 0 END) OVER o AS share, count(*) OVER o AS n FROM (SELECT contig, unnest(range(0, (length(seq) - 1) // {_WIN} + 1)) AS b FROM docs WHERE length(seq) > 0) WINDOW o AS (PARTITION BY contig ORDER BY b ROWS BETWEEN CURRENT ROW AND {most} FOLLOWING)
+  ) WHERE n = {most + 1}) WHERE stratum IS NOT NULL) WHERE i < 40"""
+
+
+_SQL_REF = f"""WITH docs AS MATERIALIZED ({sql_seqs()}), store AS MATERIALIZED (SELECT contig * {_SHIFT} + pos // {_WIN} AS bin, h, count(*) AS n FROM ({sql_hits(_P, keep=(1 << 60) // _SCALE, seqs="SELECT * FROM docs")}) GROUP BY ALL),
+size AS (SELECT bin, count(*) AS sb FROM store GROUP BY bin)"""
+#: From found (contig, w, h, n): each window's best bin, as placed_windows().
+_SQL_PLACED = f"""q AS MATERIALIZED (SELECT contig, w, h FROM (SELECT *, sum(n) OVER (PARTITION BY contig, w) AS many FROM found) WHERE many >= 10), sq AS (SELECT contig, w, count(*) AS sq FROM q GROUP BY contig, w),
+inter AS (SELECT contig, w, bin, count(*) AS i FROM q JOIN store USING (h) GROUP BY ALL), best AS (SELECT contig, w, bin, round(j, 4) AS j FROM (SELECT contig, w, bin, j, row_number() OVER (PARTITION BY contig, w ORDER BY j DESC, bin) AS r FROM (SELECT contig, w, bin, i / greatest(sb + sq - i, 1) AS j FROM inter JOIN sq USING (contig, w) JOIN size USING (bin))) WHERE r = 1),
+cov AS (SELECT contig, w, avg(CASE WHEN k.h IS NULL THEN 0 ELSE 1 END) AS cover FROM q LEFT JOIN (SELECT DISTINCT h FROM store) k USING (h) GROUP BY contig, w),
+placed AS MATERIALIZED (SELECT contig, w, bin AS top, bin // {_SHIFT} AS chrom, bin % {_SHIFT} + 0.5 AS mb, j, cover FROM best JOIN cov USING (contig, w))"""
+_SIZE, _HALF, _A, _B = _SPAN * _WIN, _SPAN // 2 * _WIN, _SPAN // 3 * _WIN, 2 * _SPAN // 3 * _WIN
+_SQL_FRAGMENTS = f"""{_SQL_REF}, own AS MATERIALIZED ({_sql_spans(_SPAN)}), cuts AS MATERIALIZED (SELECT stratum, i, own.contig, b, substr(seq, b * {_WIN} + {_WIN // 2} + 1, {_SIZE}) AS seq FROM own JOIN docs USING (contig)),
+met AS (SELECT a.stratum, a.i, c.i AS j, c.contig <> a.contig AS far_contig, CASE WHEN abs(c.b - a.b) <= 20 THEN 1 ELSE 0 END AS near, CASE WHEN c.i > a.i THEN c.i ELSE c.i + 1000000 END AS turn FROM own a JOIN own c ON a.stratum = c.stratum AND a.i <> c.i),
+partner AS (SELECT stratum, i, 'misjoin_inter' AS kind, arg_min(j, turn) AS j FROM met WHERE far_contig GROUP BY stratum, i UNION ALL SELECT stratum, i, 'misjoin_intra', j FROM (SELECT *, row_number() OVER (PARTITION BY stratum, i ORDER BY near, turn) AS r FROM met WHERE NOT far_contig) WHERE r = 1),
+made AS (SELECT stratum, i, 'control' AS kind, seq FROM cuts UNION ALL SELECT stratum, i, 'inversion', substr(seq, 1, {_A}) || reverse(translate(substr(seq, {_A + 1}, {_B - _A}), 'ACGT', 'TGCA')) || substr(seq, {_B + 1}, {_SIZE - _B}) FROM cuts
+  UNION ALL SELECT c.stratum, c.i, p.kind, substr(c.seq, 1, {_HALF}) || substr(d.seq, 1, {_SIZE - _HALF}) FROM cuts c JOIN partner p ON p.stratum = c.stratum AND p.i = c.i JOIN cuts d ON d.stratum = c.stratum AND d.i = p.j),
+named AS MATERIALIZED (SELECT stratum || '/' || i || '/' || kind AS contig, stratum, i, kind, seq FROM made),
+found AS MATERIALIZED ({sql_found("SELECT contig, seq FROM named", True)}), {_SQL_PLACED},
+jumps AS (SELECT contig, count(*) FILTER (WHERE broken) AS jumps FROM (SELECT contig, lag(chrom) OVER o <> chrom OR abs(lag(mb) OVER o - mb) > 5 AS broken FROM placed WINDOW o AS (PARTITION BY contig ORDER BY w)) GROUP BY contig),
+nth AS (SELECT contig, chrom, mb, row_number() OVER (PARTITION BY contig ORDER BY w) AS k FROM placed), met2 AS (SELECT a.contig, a.k AS ka, b.k AS kb, CASE WHEN abs(b.mb - a.mb) > 0.01 THEN sign(b.mb - a.mb) ELSE 0 END AS s FROM nth a JOIN nth b ON a.contig = b.contig AND a.k < b.k),
+spans AS (SELECT n.contig, n.k, count(*) = 4 AND min(m.chrom) = max(m.chrom) AS able FROM nth n JOIN nth m ON m.contig = n.contig AND m.k BETWEEN n.k AND n.k + 3 GROUP BY n.contig, n.k),
+slide AS (SELECT s.contig, s.k, sum(m.s) / 6 AS t FROM spans s JOIN met2 m ON m.contig = s.contig AND m.ka >= s.k AND m.kb <= s.k + 3 WHERE able GROUP BY s.contig, s.k),
+fragments AS MATERIALIZED (SELECT n.stratum, n.i, n.kind, jumps, round(coalesce((SELECT min(t) FROM slide s WHERE s.contig = n.contig), 0), 3) AS min_tau, round(CASE WHEN many < 2 THEN 0 ELSE (SELECT sum(s) FROM met2 m WHERE m.contig = n.contig) / (many * (many - 1) / 2) END, 3) AS tau, j_med
+  FROM named n JOIN jumps USING (contig) JOIN (SELECT contig, count(*) AS many, round(median(j), 3) AS j_med FROM placed GROUP BY contig) USING (contig))"""
+
+
+@query(f"WITH docs AS ({sql_seqs()}) {_sql_spans(_SPAN)}")
 def a11_span_sampler(spark, sf_dir):
     return M.spans(reference(spark, sf_dir)[2], _SPAN, 40)
 
 
-@query()
+@query(f"{_SQL_FRAGMENTS} SELECT * FROM fragments")
 def k20_misassembly(spark, sf_dir):
     """Made contigs, whole and corrupted in three ways, by the order of their windows' placements (cells: f27_bench_cells)."""
     return fragments(spark, sf_dir, 40)
 
 
-@query()
-def k20_misassembly_cells(spark, sf_dir):
-    return M.cells(fragments(spark, sf_dir, 40))
-
-
-_SQL_CELLS = """WITH r AS (SELECT o_orderstatus AS stratum, ['control', 'inversion', 'misjoin_inter', 'misjoin_intra'][o_orderkey % 4 + 1] AS kind, o_orderkey % 7 % 3 AS jumps, (o_custkey % 21) / 10.0 - 1 AS min_tau FROM orders),
-e AS (SELECT stratum, k AS of, kind = k AS pos, CASE WHEN k = 'inversion' THEN (1 - min_tau) / 2 ELSE jumps END AS score, CASE WHEN k = 'inversion' THEN min_tau <= -0.7 ELSE jumps >= 1 END AS hit FROM r JOIN (VALUES ('inversion'), ('misjoin_inter'), ('misjoin_intra')) v(k) ON kind = k OR kind = 'control'),
+_SQL_TOLD = """e AS (SELECT stratum, k AS of, kind = k AS pos, CASE WHEN k = 'inversion' THEN (1 - min_tau) / 2 ELSE jumps END AS score, CASE WHEN k = 'inversion' THEN min_tau <= -0.7 ELSE jumps >= 1 END AS hit FROM r JOIN (VALUES ('inversion'), ('misjoin_inter'), ('misjoin_intra')) v(k) ON kind = k OR kind = 'control'),
 a AS (SELECT *, rank() OVER (PARTITION BY stratum, of ORDER BY score) + (count(*) OVER (PARTITION BY stratum, of, score) - 1) / 2 AS rank FROM e)
 SELECT stratum, of AS kind, round((sum(rank) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 3) AS auc, round(avg(CAST(hit AS INT)) FILTER (WHERE pos), 3) AS detected, round(avg(CAST(hit AS INT)) FILTER (WHERE NOT pos), 3) AS control_fpr FROM a GROUP BY stratum, of"""
+_SQL_CELLS = f"""WITH r AS (SELECT o_orderstatus AS stratum, ['control', 'inversion', 'misjoin_inter', 'misjoin_intra'][o_orderkey % 4 + 1] AS kind, o_orderkey % 7 % 3 AS jumps, (o_custkey % 21) / 10.0 - 1 AS min_tau FROM orders), {_SQL_TOLD}"""
+
+
+@query(f"{_SQL_FRAGMENTS}, r AS (SELECT * FROM fragments), {_SQL_TOLD}")
+def k20_misassembly_cells(spark, sf_dir):
+    return M.cells(fragments(spark, sf_dir, 40))
 
 
 @query(_SQL_CELLS)
@@ -257,21 +287,27 @@ def f27_bench_cells(spark, sf_dir):
     return M.cells(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stratum"), kind.alias("kind"), (F.col("o_orderkey") % 7 % 3).alias("jumps"), (F.col("o_custkey") % 21 / 10.0 - 1).alias("min_tau")))
 
 
-@query()
+LENGTHS, RATES = (1, 2, 4), (0, 2, 5)
+_SQL_STRAND = f"CASE WHEN {M.seed_sql('name')} % 2 = 0 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END"
+
+
+@query(f"""{_SQL_REF}, own AS MATERIALIZED ({_sql_spans(max(LENGTHS))}), cell AS (SELECT n, e FROM (SELECT unnest({list(LENGTHS)}) AS n), (SELECT unnest({list(RATES)}) AS e)),
+reads AS MATERIALIZED (SELECT stratum || '/' || i || '/' || n || '/' || e AS name, stratum, contig AS chrom0, b AS b0, n, e, substr(seq, b * {_WIN} + {_WIN // 2} + 1, n * {_WIN}) AS s FROM own JOIN docs USING (contig), cell),
+noisy AS MATERIALIZED (SELECT name AS contig, {M.errors_sql("name", _SQL_STRAND, "(e / 100.0)")} AS seq FROM reads),
+found AS MATERIALIZED (SELECT contig, 0 AS w, h, count(*) AS n FROM ({sql_hits(_P, keep=(1 << 60) // _SCALE, seqs="SELECT * FROM noisy")}) GROUP BY ALL), {_SQL_PLACED}
+SELECT stratum, n * {_WIN} AS length, e / 100.0 AS err, count(*) AS n, round(avg(CASE WHEN chrom = chrom0 AND top % {_SHIFT} BETWEEN b0 AND b0 + n THEN 1 ELSE 0 END), 3) AS top1, round(avg(CASE WHEN chrom = chrom0 THEN 1 ELSE 0 END), 3) AS chrom_acc, round(median(j), 3) AS j_med, round(median(cover), 3) AS cover_med
+FROM reads LEFT JOIN placed ON placed.contig = reads.name GROUP BY stratum, reads.n, e""")
 def k21_reads(spark, sf_dir):
     """Reads of three lengths, three error rates and two strata, on either strand: placement, Jaccard and cover of each cell."""
     docs, sketch, dim = reference(spark, sf_dir)
-    out, lengths = None, (1, 2, 4)
-    own = written(M.spans(dim, max(lengths), 40), "spans")
-    for n in lengths:
-        for rate in (0.0, 0.02, 0.05):
-            start = F.col("b") * _WIN + _WIN // 2
-            reads = own.join(docs, "contig").select("stratum", F.col("contig").alias("chrom0"), F.col("b").alias("b0"), F.concat_ws("/", "stratum", F.col("i").cast("string")).alias("id"), F.substring("seq", (start + 1).cast("int"), F.lit(n * _WIN)).alias("seq"))
-            reads = reads.withColumn("seq", F.when(F.xxhash64("id") % 2 == 0, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
-            seqs = M.with_errors(reads, rate).withColumnRenamed("id", "contig")
-            found = K.store(K.portable_hits(seqs, _P, _SCALE), 1 << 30).withColumnRenamed("bin", "w")
-            got = reads.select("stratum", "chrom0", "b0", F.col("id").alias("contig")).join(placed_windows(found, sketch), "contig", "left")
-            bin_ = F.col("top") % _SHIFT
-            one = got.groupBy("stratum").agg(F.lit(n * _WIN).alias("length"), F.lit(rate).alias("err"), F.count("*").alias("n"), F.round(F.avg(F.coalesce(((F.col("chrom") == F.col("chrom0")) & bin_.between(F.col("b0"), F.col("b0") + n)).cast("int"), F.lit(0))), 3).alias("top1"), F.round(F.avg(F.coalesce((F.col("chrom") == F.col("chrom0")).cast("int"), F.lit(0))), 3).alias("chrom_acc"), F.round(F.median("j"), 3).alias("j_med"), F.round(F.median("cover"), 3).alias("cover_med"))
-            out = one if out is None else out.union(one)
-    return out
+    each = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    own = written(M.spans(dim, max(LENGTHS), 40), "spans").select("*", each(LENGTHS, "n")).select("*", each(RATES, "e"))
+    reads = own.join(docs, "contig").select("stratum", F.col("contig").alias("chrom0"), F.col("b").alias("b0"), "n", "e", F.concat_ws("/", "stratum", F.col("i").cast("string"), F.col("n").cast("string"), F.col("e").cast("string")).alias("id"), F.expr(f"substring(seq, int(b * {_WIN} + {_WIN // 2 + 1}), n * {_WIN})").alias("seq"))
+    reads = written(reads.withColumn("seq", F.when(M.seed_of(F.col("id")) % 2 == 0, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))), "reads")
+    seqs = M.with_errors(reads.select("id", "seq", "e"), F.col("e") / 100.0).select(F.col("id").alias("contig"), "seq")
+    found = K.store(K.portable_hits(seqs, _P, _SCALE), 1 << 30).withColumnRenamed("bin", "w")
+    got = reads.drop("seq").withColumnRenamed("id", "contig").join(placed_windows(found, sketch), "contig", "left")
+    share = lambda on: F.round(F.avg(F.coalesce(on.cast("int"), F.lit(0))), 3)
+    home = F.col("chrom") == F.col("chrom0")
+    cells = got.groupBy("stratum", "n", "e").agg(F.count("*").alias("many"), share(home & (F.col("top") % _SHIFT).between(F.col("b0"), F.col("b0") + F.col("n"))).alias("top1"), share(home).alias("chrom_acc"), F.round(F.median("j"), 3).alias("j_med"), F.round(F.median("cover"), 3).alias("cover_med"))
+    return cells.select("stratum", (F.col("n") * _WIN).alias("length"), (F.col("e") / 100.0).alias("err"), F.col("many").alias("n"), "top1", "chrom_acc", "j_med", "cover_med")
