@@ -12,6 +12,9 @@ MASK64 = (1 << 64) - 1
 _CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _CODE[_c + 32] = _i
+_LETTER = np.full(256, 255, np.uint8)
+for _i in range(26):
+    _LETTER[65 + _i] = _LETTER[97 + _i] = _i % 4
 _BASE = np.frombuffer(b"ACGT", np.uint8).astype(np.uint64)
 
 
@@ -25,6 +28,11 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
+def squeezed_codes(text: np.ndarray) -> np.ndarray:
+    """The bytes of texts as base codes: squeezed(), with 255 for the bytes that go."""
+    return _LETTER[text]
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 

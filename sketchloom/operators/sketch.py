@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from .products import products
 
+#: Text bytes that one step of text_store() takes; a longer text is a step of its own.
+TEXT_BYTES = 4 << 20
 
 def chunked(contigs: DataFrame, k: int, size: int = 1 << 22) -> DataFrame:
     """contigs as rows (contig, at, seq) of about `size` bases that overlap by k - 1: long contigs spread over tasks."""
@@ -83,6 +86,39 @@ def _hits(pieces: DataFrame, k: int, keep: int, hashed) -> DataFrame:
     return pieces.mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 
 
+def text_store(texts: DataFrame, k: int, scaled: int, bin_bp: int, portable: bool = False, seed: int = 42) -> DataFrame:
+    """store() of texts (contig, text) whose letters stand for bases (squeezed()), from their bytes in one kernel.
+
+    Texts are squeezed, encoded, hashed and counted by bin in one Arrow step; what one step
+    counts is added up by the shuffle. A text is one row, so none may pass a task's memory.
+    """
+    key = texts.schema["contig"].dataType.simpleString()
+    keep, hashed = ((1 << S.PORTABLE_BITS) // scaled, S.portable_hashes) if portable else (S.max_hash(scaled), lambda c, k: S.hash_codes(c, k, seed))
+    if not 4 <= k <= 31:
+        raise ValueError("k must lie in 4 .. 31")
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = pc.fill_null(batch.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
+            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+            cuts = [0, *(np.flatnonzero(np.diff((offsets - offsets[0]) // TEXT_BYTES)) + 1).tolist(), len(raw)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                letters = S.squeezed_codes(data[offsets[a] : offsets[b]])
+                on = letters < 4
+                ends = np.concatenate([[0], np.cumsum(on)])[offsets[a : b + 1] - offsets[a]]
+                own, at, h = _kept(ends, letters[on], k, keep, hashed)
+                place, h = np.stack([own, at // bin_bp]), h.view(np.int64)
+                order = np.lexsort((h, place[1], place[0]))
+                place, h = place[:, order], h[order]
+                new = np.flatnonzero(np.append(True, (np.diff(place, axis=1) != 0).any(0) | (np.diff(h) != 0))[: len(h)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + place[0][new])), pa.array(place[1][new]), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h))))], names=["contig", "bin", "h", "n"])
+
+    return texts.select("contig", "text").mapInArrow(op, f"contig {key}, bin bigint, h bigint, n bigint").groupBy("contig", "bin", "h").agg(F.sum("n").alias("n"))
+
+
 def kmers(contigs: DataFrame, k: int, piece: int = 256) -> DataFrame:
     """(contig, pos, kmer) of all canonical k-mers of A, C, G and T, by DataFrame functions.
 

@@ -38,9 +38,15 @@ def contigs(spark: SparkSession, sf_dir: str, table: str = "documents", key: str
     return rows.select(F.col(key).alias("contig"), S.squeezed(F.col("text")).alias("seq"))
 
 
+def texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """(contig, text) of a table."""
+    rows = spread(read(spark, sf_dir, table).where("text is not null").select(key, "text"), key)
+    return rows.withColumnRenamed(key, "contig")
+
+
 def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store of the documents, sketched once and written: a plan that reads it several times scans no text again."""
-    return written(K.store(K.portable_hits(contigs(spark, sf_dir), KMER, SCALED), BIN), "store")
+    return written(K.text_store(texts(spark, sf_dir), KMER, SCALED, BIN, portable=True), "store")
 
 
 def sql_seqs(table: str = "documents", key: str = "doc_id") -> str:
@@ -59,6 +65,45 @@ def sql_hits(k: int = KMER, table: str = "documents", key: str = "doc_id", keep:
     return f"SELECT * FROM (SELECT contig, pos, {S.portable_sql('kmer', k)} AS h FROM ({sql_kmers(k, table, key, seqs)})) WHERE h <= {keep}"
 
 
+def sql_murmur(kmer: str, k: int, rows: str, seed: int = 42) -> str:
+    """rows with h, the low 64 bits of MurmurHash3 x64-128 of a k-mer of 17 to 24 bases: one block and a short tail.
+
+    Products are taken in 128 bits and cut to 64; each layer adds the columns that the next one needs.
+    """
+    c1, c2, top = 0x87C37B91114253D5, 0x4CF5AD432745937F, 1 << 64
+    cut = lambda x: f"CAST(({x}) % {top}::UHUGEINT AS UBIGINT)"
+    times = lambda a, b: cut(f"{a}::UHUGEINT * {b}::UHUGEINT")
+    plus = lambda a, b: cut(f"{a}::UHUGEINT + {b}::UHUGEINT")
+    turned = lambda x, r: cut(f"({x})::UHUGEINT * {1 << r}::UHUGEINT + ({x})::UHUGEINT // {1 << (64 - r)}::UHUGEINT")
+    word = lambda at, n: "CAST(" + " + ".join(f"ascii(substr({kmer}, {at + j + 1}, 1))::UHUGEINT * {1 << (8 * j)}::UHUGEINT" for j in range(n)) + " AS UBIGINT)"
+    layers = [
+        {"a": word(0, 8), "b": word(8, 8), "t": word(16, k - 16)},
+        {"a": times("a", c1), "b": times("b", c2), "t": times("t", c1)},
+        {"a": turned("a", 31), "b": turned("b", 33), "t": turned("t", 31)},
+        {"a": times("a", c2), "b": times("b", c1), "t": times("t", c2)},
+        {"a": turned(f"xor({seed}::UBIGINT, a)", 27)},
+        {"a": cut(f"(a::UHUGEINT + {seed}) * 5::UHUGEINT + {0x52DCE729}::UHUGEINT")},
+        {"b": turned(f"xor({seed}::UBIGINT, b)", 31)},
+        {"b": cut(f"(b::UHUGEINT + a::UHUGEINT) * 5::UHUGEINT + {0x38495AB5}::UHUGEINT")},
+        {"a": f"xor(xor(a, t), {k}::UBIGINT)", "b": f"xor(b, {k}::UBIGINT)"},
+        {"a": plus("a", "b")},
+        {"b": plus("b", "a")},
+        *[step for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53) for step in ({c: f"xor({c}, {c} >> 33)" for c in "ab"}, {c: times(c, m) for c in "ab"})],
+        {c: f"xor({c}, {c} >> 33)" for c in "ab"},
+        {"a": plus("a", "b")},
+    ]
+    out = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in layers[0].items())} FROM ({rows})"
+    for layer in layers[1:]:
+        out = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in layer.items())}) FROM ({out})"
+    return f"SELECT * EXCLUDE (a, b, t), a AS h FROM ({out})"
+
+
+def sql_murmur_store(k: int, scaled: int, bin_bp: int, table: str, key: str) -> str:
+    """(contig, bin, h, n) of a table's texts under MurmurHash3."""
+    hits = sql_murmur("kmer", k, sql_kmers(k, table, key))
+    return f"SELECT contig, pos // {bin_bp} AS bin, CAST(h AS BIGINT) AS h, count(*) AS n FROM ({hits}) WHERE h <= {S.max_hash(scaled)} GROUP BY ALL"
+
+
 SQL_STORE = f"SELECT contig, pos // {BIN} AS bin, h, count(*) AS n FROM ({sql_hits()}) GROUP BY ALL"
 SQL_BINS = f"""SELECT contig, b AS bin, b * {BIN} AS start, least((b + 1) * {BIN}, length(seq)) AS "end",
     length(regexp_replace(substr(seq, b * {BIN} + 1, {BIN}), '[^ACGT]', '', 'g')) AS acgt, length(regexp_replace(substr(seq, b * {BIN} + 1, {BIN}), '[^GC]', '', 'g')) AS gcs

@@ -31,8 +31,8 @@ def places(spark):
 
 
 _SQL_TAU = """pairs AS (SELECT a.contig, sum(CASE WHEN abs(b.mb - a.mb) > 0.01 THEN sign(b.mb - a.mb) ELSE 0 END) AS s FROM dw a JOIN dw b ON a.contig = b.contig AND a.w < b.w GROUP BY a.contig)"""
-SQL_TRIAGE = f"""WITH {SQL_SCAN},
-base AS (SELECT contig, count(*) AS n_win, count(*) FILTER (WHERE placed) AS n_placed, median(j1) AS j_med, median(cover) AS cover_med, avg(CASE WHEN cover < 0.9 THEN 1 ELSE 0 END) AS novel,
+#: From the CTEs scan and placed.
+SQL_TRIAGE_STEPS = f"""base AS (SELECT contig, count(*) AS n_win, count(*) FILTER (WHERE placed) AS n_placed, median(j1) AS j_med, median(cover) AS cover_med, avg(CASE WHEN cover < 0.9 THEN 1 ELSE 0 END) AS novel,
   arg_min(CASE WHEN NOT placed THEN 'unplaced' WHEN sat THEN 'satellite' ELSE 'non-sat' END, w) AS end5, arg_max(CASE WHEN NOT placed THEN 'unplaced' WHEN sat THEN 'satellite' ELSE 'non-sat' END, w) AS end3 FROM placed GROUP BY contig HAVING count(*) >= 3),
 dom AS (SELECT contig, chrom, n AS dom_n FROM (SELECT contig, chrom, count(*) AS n, row_number() OVER (PARTITION BY contig ORDER BY count(*) DESC, chrom) AS r FROM placed WHERE placed GROUP BY contig, chrom) WHERE r = 1),
 dw AS (SELECT p.contig, p.w, p.mb, d.chrom, d.dom_n FROM placed p JOIN dom d ON p.contig = d.contig AND p.chrom = d.chrom WHERE p.placed), {_SQL_TAU},
@@ -45,6 +45,7 @@ triage AS (SELECT base.contig, n_win, round_even(n_win * 0.1, 1) AS mb, coalesce
   coalesce(jumps, 0) AS jumps, round_even(j_med, 2) AS j_med, round_even(cover_med, 2) AS cover_med, end5, end3, round_even(novel, 3) AS novel_frac,
   round_even(w0 * 0.1, 1) AS novel_run_mb0, round_even((w1 + 1) * 0.1, 1) AS novel_run_mb1, round_even(mincov, 2) AS novel_run_mincov
   FROM base LEFT JOIN walk USING (contig) LEFT JOIN j USING (contig) LEFT JOIN nov USING (contig))"""
+SQL_TRIAGE = f"WITH {SQL_SCAN}, {SQL_TRIAGE_STEPS}"
 
 
 @query(f"{SQL_TRIAGE} SELECT * FROM triage")
@@ -56,10 +57,15 @@ _SQL_ENDS = lambda t: f"(count(*) FILTER (WHERE n_win >= 5 AND end5 = '{t}') + c
 _SQL_CENSUS = ", ".join(f"count(*) FILTER (WHERE n_win >= 5 AND orient = '{o}') AS n_{n}" for o, n in (("forward", "forward"), ("reverse", "reverse"), ("mostly+", "mostly_plus"), ("mostly-", "mostly_minus"), ("scrambled", "scrambled"), ("short", "short"), ("unplaced", "unplaced")))
 
 
-@query(f"""{SQL_TRIAGE}, a AS (SELECT count(*) AS n_windows, round(avg(CASE WHEN j1 >= 0.3 THEN 1 ELSE 0 END), 3) AS placed_confident, round(avg(CASE WHEN j1 >= 0.1 AND j1 < 0.3 THEN 1 ELSE 0 END), 3) AS placed_weak, round(avg(CASE WHEN j1 < 0.1 THEN 1 ELSE 0 END), 3) AS unplaced,
-  round(count(DISTINCT ehits[1]) / {REF_BINS}, 3) AS ref_breadth, round(count(*) FILTER (WHERE cover < 0.9) * 0.1, 1) AS novel_mb FROM scan),
+def sql_summary(n_bins: str) -> str:
+    """summary() from the CTEs scan and triage."""
+    return f"""a AS (SELECT count(*) AS n_windows, round(avg(CASE WHEN j1 >= 0.3 THEN 1 ELSE 0 END), 3) AS placed_confident, round(avg(CASE WHEN j1 >= 0.1 AND j1 < 0.3 THEN 1 ELSE 0 END), 3) AS placed_weak, round(avg(CASE WHEN j1 < 0.1 THEN 1 ELSE 0 END), 3) AS unplaced,
+  round(count(DISTINCT ehits[1]) / {n_bins}, 3) AS ref_breadth, round(count(*) FILTER (WHERE cover < 0.9) * 0.1, 1) AS novel_mb FROM scan),
 b AS (SELECT count(*) AS n_contigs_reported, round({_SQL_ENDS('satellite')} / greatest(2 * count(*) FILTER (WHERE n_win >= 5), 1), 3) AS ends_in_satellite, round({_SQL_ENDS('unplaced')} / greatest(2 * count(*) FILTER (WHERE n_win >= 5), 1), 3) AS ends_unplaced, {_SQL_CENSUS} FROM triage)
-SELECT * FROM a, b""")
+SELECT * FROM a, b"""
+
+
+@query(f"{SQL_TRIAGE}, {sql_summary(str(REF_BINS))}")
 def f22_triage_summary(spark, sf_dir):
     rows = scan(spark, sf_dir)
     return C.summary(C.triage(rows, places(spark), BIN_BP), rows, REF_BINS, BIN_BP)
