@@ -9,33 +9,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import written
 
 #: Rows of a block, and columns that a task multiplies at once.
 BLOCK, COLUMNS = 1024, 4096
 #: A hash in up to so many rows (or so many blocks, if they are more and under MOST) is met by a join.
-RARE, MOST = 64, 2048
-
-
-def _named(rows: DataFrame) -> tuple[DataFrame, T.DataType]:
-    """rows (row, h, w) with a struct in row as its JSON text, and row's type."""
-    kind = rows.schema["row"].dataType
-    row = F.to_json("row") if isinstance(kind, T.StructType) else F.col("row")
-    return rows.select(row.alias("row"), "h", (F.col("w").cast("double") if "w" in rows.columns else F.lit(1.0)).alias("w")), kind
+RARE, MOST = 256, 2048
 
 
 def _block_product(table: pa.Table) -> pa.Table:
-    """(a, b, n, g) of the pairs of rows of two blocks that share a hash; entries (left, row, h, w)."""
+    """(a, b, n, g) of the pairs of rows of two blocks that share a hash; rows (a or b, e), e being the entries (h, w) of a row."""
     table = table.combine_chunks()
-    left, w = table.column("left").to_numpy(zero_copy_only=False), table.column("w").to_numpy()
-    hashes, column = np.unique(table.column("h").to_numpy(), return_inverse=True)
+    left, lists = np.asarray(table.column("left")), table.column("e").combine_chunks()
+    many = np.asarray(lists.value_lengths(), dtype=np.int64)
+    flat = lists.flatten()
+    hashes, column = np.unique(flat.field("h").to_numpy(), return_inverse=True)
+    place, of, w = np.cumsum(left) - 1, np.repeat(np.arange(len(left)), many), flat.field("w").to_numpy()
+    place = np.where(left, place, np.cumsum(~left) - 1)
     sides = []
-    for on in (left, ~left):
-        coded = pc.dictionary_encode(table.column("row").combine_chunks().filter(pa.array(on)))
-        sides.append((np.asarray(coded.indices, dtype=np.int64), coded.dictionary, column[on], w[on]))
+    for on, name in ((left, "a"), (~left, "b")):
+        sides.append((place[of[on[of]]], table.column(name).combine_chunks().filter(pa.array(on)), column[on[of]], w[on[of]]))
     (a, rows_a, ca, wa), (b, rows_b, cb, wb) = sides
     both, total = np.zeros((len(rows_a), len(rows_b))), np.zeros((len(rows_a), len(rows_b)))
     for low in range(0, len(hashes), COLUMNS):
@@ -57,35 +53,34 @@ def products(a: DataFrame, b: DataFrame | None = None, diagonal: bool = False, r
     pair of rows of a once, the lesser first, and with `diagonal` each row with itself. Exact.
     """
     own = b is None
-    a, kind_a = _named(a)
-    b, kind_b = (a, kind_a) if own else _named(b)
-    sides = [a] if own else [a, b]
-    blocks = [max(1, -(-x.select("row").distinct().count() // BLOCK)) for x in sides]
-    few = rare or min(max(RARE, *blocks), MOST)
+    sides = [x.select("row", "h", (F.col("w").cast("double") if "w" in x.columns else F.lit(1.0)).alias("w")) for x in ([a] if own else [a, b])]
     counts = [x.groupBy("h").agg(F.count("*").alias(f"n{i}")) for i, x in enumerate(sides)]
-    held = counts[0].select("h", "n0", F.col("n0").alias("n1")).where("n0 > 1 or {}".format(str(diagonal).lower())) if own else counts[0].join(counts[1], "h")
-    held = held.select("h", (F.col("n0") * F.col("n1") > few * few).alias("many"))
-    a, b = (x.join(held, "h") for x in (a, b))
+    held = counts[0].select("h", "n0", F.col("n0").alias("n1")) if own else counts[0].join(counts[1], "h")
+    held = held if diagonal or not own else held.where("n0 > 1")
+    # the entries that meet another, with the pairs that their hash makes
+    sides = [written(x.join(held.select("h", (F.col("n0") * F.col("n1")).alias("pairs")), "h"), "entries") for x in sides]
+    a, b = sides[0], sides[-1]
+    few, blocks = rare or RARE, None
+    if (a.agg(F.max("pairs")).first()[0] or 0) > few * few:
+        blocks = [max(1, -(-x.select("row").distinct().count() // BLOCK)) for x in sides]
+        few = rare or min(max(RARE, *blocks), MOST)
+    many = F.col("pairs") > few * few
     ordered = F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b")
-    one, two = (x.where("not many").select("h", F.col("row").alias(n), F.col("w").alias(f"w{n}")) for x, n in ((a, "a"), (b, "b")))
+    one, two = (x.where(~many).select("h", F.col("row").alias(n), F.col("w").alias(f"w{n}")) for x, n in ((a, "a"), (b, "b")))
     met = one.join(two, "h")
     met = (met.where(ordered) if own else met).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("wa") * F.col("wb")).alias("g"))
+    if blocks is None:
+        return met
     # the other hashes, tile by tile
-    of = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = a.where("many").select(of(blocks[0]).alias("i"), every(blocks[-1]).alias("j"), F.lit(True).alias("left"), "row", "h", "w")
-    right = b.where("many").select(every(blocks[0]).alias("i"), of(blocks[-1]).alias("j"), F.lit(False).alias("left"), "row", "h", "w")
-    key = a.schema["row"].dataType.simpleString(), b.schema["row"].dataType.simpleString()
-    if key[0] != key[1]:
-        left, right = (x.withColumn("row", F.col("row").cast("string")) for x in (left, right))
-    name = key[0] if key[0] == key[1] else "string"
+    kinds = [x.schema["row"].dataType.simpleString() for x in (a, b)]
+    a, b = (x.where(many).groupBy("row").agg(F.collect_list(F.struct("h", "w")).alias("e")) for x in (a, b))
+    left = a.select(of("row", blocks[0]).alias("i"), every(blocks[-1]).alias("j"), F.lit(True).alias("left"), F.col("row").alias("a"), F.lit(None).cast(kinds[1]).alias("b"), "e")
+    right = b.select(every(blocks[0]).alias("i"), of("row", blocks[-1]).alias("j"), F.lit(False).alias("left"), F.lit(None).cast(kinds[0]).alias("a"), F.col("row").alias("b"), "e")
     tiles = left.union(right)
-    tiled = (tiles.where("i <= j") if own else tiles).groupBy("i", "j").applyInArrow(_block_product, f"a {name}, b {name}, n bigint, g double")
-    if own:  # a tile of two blocks holds a pair in one order, one of a block with itself in both
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        tiled = tiled.where(ordered | (F.pmod(F.xxhash64("a"), F.lit(blocks[0])) != F.pmod(F.xxhash64("b"), F.lit(blocks[0])))).select(low.alias("a"), high.alias("b"), "n", "g")
-    elif key[0] != key[1]:
-        tiled = tiled.select(F.col("a").cast(key[0]).alias("a"), F.col("b").cast(key[1]).alias("b"), "n", "g")
-    out = met.union(tiled).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    back = lambda c, kind: (F.from_json(c, kind) if isinstance(kind, T.StructType) else F.col(c)).alias(c)
-    return out.select(back("a", kind_a), back("b", kind_b), "n", "g")
+    tiled = (tiles.where("i <= j") if own else tiles).groupBy("i", "j").applyInArrow(_block_product, f"a {kinds[0]}, b {kinds[1]}, n bigint, g double")
+    if own:  # a tile of one block holds each pair in both orders, one of two blocks in one
+        alone = of("a", blocks[0]) == of("b", blocks[0])
+        tiled = tiled.where(ordered | ~alone).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "g")
+    return met.union(tiled).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))

@@ -205,8 +205,7 @@ def pairs(sketch: DataFrame, k: int) -> DataFrame:
     """
     one = sketch.select("contig", "bin", "h")
     sizes = one.groupBy("contig", "bin").agg(F.count("*").alias("size"))
-    inter = products(one.select(F.struct("contig", "bin").alias("row"), "h"))
-    inter = inter.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n").alias("inter"))
+    inter = products(one.select(F.struct("contig", "bin").alias("row"), "h")).select("a", "b", F.col("n").alias("inter"))
     of = lambda x: sizes.select(F.struct("contig", "bin").alias(x), F.col("size").alias(f"size_{x}"))
     both = inter.join(of("a"), "a").join(of("b"), "b")
     maxc = F.col("inter") / F.least("size_a", "size_b")
