@@ -57,6 +57,42 @@ def word_place(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
 
 
+#: The colours of clusters by rank, of noise, and of classes that no track colours or colours too dark; factors and lift of further rounds.
+CLUSTER_COLOURS = ("#2a78d6", "#eb6834", "#1baf7a", "#eda100", "#e87ba4", "#008300", "#4a3aa7", "#e34948")
+NOISE_COLOUR = "#dddcd6"
+CLASS_COLOURS = {"non_sat": "#c9c8c2", "rDNA": "#8a6d3b"}
+DEFAULT_COLOURS = {"ct": "#b9b8b2"}
+ROUNDS, LIFT = (0.72, 1.28, 0.5, 1.55), 28
+
+
+def hex_colour(r: Column, g: Column, b: Column) -> Column:
+    """Three numbers of 0 to 255 as `#rrggbb`."""
+    return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c.cast("bigint"))), 2, "0") for c in (r, g, b)])
+
+
+def class_colours(track: DataFrame) -> DataFrame:
+    """(cls, colour) of a track (cls, rgb as `r,g,b`): the median of each channel, rounded down; fixed colours of some classes."""
+    part = lambda i: F.floor(F.median(F.get(F.split("rgb", ","), i).cast("int")))
+    own = track.where("cls <> ''").groupBy("cls").agg(hex_colour(part(0), part(1), part(2)).alias("colour"))
+    table = lambda d: track.sparkSession.createDataFrame(list(d.items()), "cls string, colour string")
+    fixed = own.join(F.broadcast(table(CLASS_COLOURS)), "cls", "left_anti").union(table(CLASS_COLOURS))
+    return fixed.union(table(DEFAULT_COLOURS).join(own, "cls", "left_anti"))
+
+
+def cluster_colours(rows: DataFrame) -> DataFrame:
+    """(cluster, colour): the largest clusters get the fixed colours, later rounds darker and lighter ones; noise (below 0) its own.
+
+    Clusters of one size come in the order of their numbers.
+    """
+    sizes = rows.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n"))
+    slots, many = F.array(*[F.lit(c) for c in CLUSTER_COLOURS]), len(CLUSTER_COLOURS)
+    placed = numbered(sizes, F.desc("n"), "cluster").withColumn("base", F.get(slots, (F.col("_n") % many).cast("int"))).withColumn("round", F.floor(F.col("_n") / many).cast("int"))
+    factor = F.when(F.col("round") == 0, 1.0).otherwise(F.get(F.array(*[F.lit(f) for f in ROUNDS]), (F.col("round") - 1) % len(ROUNDS)))
+    channel = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.conv(F.substring("base", 2 * i + 2, 2), 16, 10).cast("int") * factor + F.when(factor > 1, LIFT).otherwise(0))))
+    out = placed.select(F.col("cluster").cast("bigint").alias("cluster"), hex_colour(channel(0), channel(1), channel(2)).alias("colour"))
+    return out.union(rows.sparkSession.createDataFrame([(-1, NOISE_COLOUR)], "cluster bigint, colour string"))
+
+
 def lanes(spans: DataFrame, margin: float = 8.0) -> DataFrame:
     """spans (chrom, id, lo, hi) with lane: longest first, each in the first lane where it stands over `margin` off the others.
 
