@@ -36,3 +36,13 @@ def promiscuity_summary(rows: DataFrame, classes: DataFrame, least: int = 10) ->
 def supported(rows: DataFrame, label: str, least: int) -> DataFrame:
     """The rows whose label has `least` rows or more."""
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy(label))).where(F.col("_n") >= least).drop("_n")
+
+
+#: The support that each measure asks for, of a label's rows or of all rows.
+SUPPORT = {"chromosome": 5, "family": 20, "class": 10}
+LEAST_ROWS = {"alpha": 25, "satellite": 100}
+
+
+def guarded(rows: DataFrame, least: int) -> DataFrame:
+    """rows, or none of them if they are under `least`: a measure of so few has no value."""
+    return rows if rows.limit(least).count() >= least else rows.limit(0)

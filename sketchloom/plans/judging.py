@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -217,6 +220,23 @@ def b7_metrics_sink(spark, sf_dir):
     return files.read_metrics(spark, path)
 
 
+_SQL_SUPPORT = " UNION ALL ".join(f"SELECT '{name}' AS rule, CAST(label AS VARCHAR) AS label, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY label) AS m FROM ({rows})) WHERE m >= {least} GROUP BY label" for name, least, rows in (("chromosome", X.SUPPORT["chromosome"], "SELECT c_nationkey AS label FROM customer WHERE c_custkey % 9 = 0"), ("family", X.SUPPORT["family"], "SELECT source AS label FROM documents WHERE source IS NOT NULL"), ("class", X.SUPPORT["class"], "SELECT p_size AS label FROM part")))
+_SQL_GUARDS = " UNION ALL ".join(f"SELECT '{name}', 'all', n FROM (SELECT count(*) AS n FROM supplier) WHERE n >= {least}" for name, least in X.LEAST_ROWS.items())
+
+
+@query(f"{_SQL_SUPPORT} UNION ALL {_SQL_GUARDS}")
+def d15_class_support(spark, sf_dir):
+    """Rows that are left for each measure: of labels with support, and of tables with rows enough."""
+    rows = {
+        "chromosome": read(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("label")),
+        "family": read(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("label")),
+        "class": read(spark, sf_dir, "part").select(F.col("p_size").alias("label")),
+    }
+    out = [X.supported(df, "label", X.SUPPORT[rule]).groupBy("label").agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), F.col("label").cast("string").alias("label"), "n") for rule, df in rows.items()]
+    whole = [X.guarded(read(spark, sf_dir, "supplier"), least).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(rule).alias("rule"), F.lit("all").alias("label"), "n") for rule, least in X.LEAST_ROWS.items()]
+    return reduce(DataFrame.union, out + whole)
+
+
 _SQL_AB = f"""WITH store AS MATERIALIZED (SELECT contig, h, count(*) AS n FROM ({sql_hits(21, "benchmark", "item_id", (1 << 60) // 5)}) GROUP BY ALL), nb AS (SELECT count(DISTINCT contig) AS n_bins FROM store), df AS (SELECT h, count(*) AS df FROM store GROUP BY h),
 raw AS (SELECT contig, h, ln(1 + n) * ln(1 + n_bins / df) AS w FROM store JOIN df USING (h), nb WHERE df >= 2), x AS (SELECT contig, h, w / sqrt(sum(w * w) OVER (PARTITION BY contig)) AS w FROM raw),
 size AS (SELECT contig, count(*) AS m FROM store GROUP BY contig), j AS (SELECT a.contig AS a, b.contig AS b, count(*) AS i FROM store a JOIN store b ON a.h = b.h AND a.contig < b.contig GROUP BY ALL), c AS (SELECT a.contig AS a, b.contig AS b, sum(a.w * b.w) AS cosine FROM x a JOIN x b ON a.h = b.h AND a.contig < b.contig GROUP BY ALL),
