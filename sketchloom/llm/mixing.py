@@ -10,7 +10,6 @@ source). Slots and documents then meet by block index.
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
