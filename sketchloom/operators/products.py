@@ -1,12 +1,15 @@
 """Products of sparse rows: what pairs of rows share, without a hash's rows squared on one key.
 
-A hash that few rows hold is met by a join on it. The rows of the others are dealt to
-blocks, and a task multiplies two blocks in numpy: it gets each entry once and returns one
-sum a pair, however many hashes the pair shares.
+Where a join on the hash makes a bounded number of pairs for each entry it reads, and no hash
+has too many rows for a task, that join is all. Otherwise it meets the hashes that few rows
+hold, and the rows of the others are dealt to blocks: a task multiplies two blocks in numpy,
+gets each entry once and returns one sum a pair, however many hashes the pair shares.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +21,8 @@ from ..session import written
 BLOCK, COLUMNS = 1024, 4096
 #: A hash in up to so many rows (or so many blocks, if they are more and under MOST) is met by a join.
 RARE, MOST = 256, 2048
+#: Pairs for each entry up to which one join on the hash is taken for all hashes of up to MOST rows.
+JOINED = 16
 
 
 def _block_product(table: pa.Table) -> pa.Table:
@@ -54,23 +59,29 @@ def products(a: DataFrame, b: DataFrame | None = None, diagonal: bool = False, r
     """
     own = b is None
     sides = [x.select("row", "h", (F.col("w").cast("double") if "w" in x.columns else F.lit(1.0)).alias("w")) for x in ([a] if own else [a, b])]
-    counts = [x.groupBy("h").agg(F.count("*").alias(f"n{i}")) for i, x in enumerate(sides)]
-    held = counts[0].select("h", "n0", F.col("n0").alias("n1")) if own else counts[0].join(counts[1], "h")
-    held = held if diagonal or not own else held.where("n0 > 1")
+    each = reduce(DataFrame.union, (x.select("h", *[F.lit(int(i == j)).alias(f"n{j}") for j in range(len(sides))]) for i, x in enumerate(sides)))
+    held = each.groupBy("h").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(sides))])
+    held = held.withColumn("n1", F.col("n0")) if own else held.where("n0 > 0 and n1 > 0")
+    meets = F.lit(diagonal or not own) | (F.col("n0") > 1)
+    pairs = F.when(meets, F.col("n0") * F.col("n1"))
+    largest, whole, entries = held.agg(F.coalesce(F.max(pairs), F.lit(0)), F.coalesce(F.sum(pairs.cast("double")), F.lit(0.0)), F.coalesce(F.sum(F.col("n0") if own else F.col("n0") + F.col("n1")), F.lit(0))).first()
+    ordered = F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        one, two = (x.select("h", F.col("row").alias(n), F.col("w").alias(f"w{n}")) for x, n in ((a, "a"), (b, "b")))
+        rows = one.join(two, "h")
+        return (rows.where(ordered) if own else rows).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("wa") * F.col("wb")).alias("g"))
+
+    few = rare or RARE
+    if largest <= few * few or (not rare and largest <= MOST * MOST and whole <= JOINED * entries):
+        return met(sides[0], sides[-1])
     # the entries that meet another, with the pairs that their hash makes
-    sides = [written(x.join(held.select("h", (F.col("n0") * F.col("n1")).alias("pairs")), "h"), "entries") for x in sides]
+    sides = [written(x.join(held.where(meets).select("h", pairs.alias("pairs")), "h"), "entries") for x in sides]
     a, b = sides[0], sides[-1]
-    few, blocks = rare or RARE, None
-    if (a.agg(F.max("pairs")).first()[0] or 0) > few * few:
-        blocks = [max(1, -(-x.select("row").distinct().count() // BLOCK)) for x in sides]
-        few = rare or min(max(RARE, *blocks), MOST)
+    blocks = [max(1, -(-x.select("row").distinct().count() // BLOCK)) for x in sides]
+    few = rare or min(max(RARE, *blocks), MOST)
     many = F.col("pairs") > few * few
-    ordered = F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b")
-    one, two = (x.where(~many).select("h", F.col("row").alias(n), F.col("w").alias(f"w{n}")) for x, n in ((a, "a"), (b, "b")))
-    met = one.join(two, "h")
-    met = (met.where(ordered) if own else met).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("wa") * F.col("wb")).alias("g"))
-    if blocks is None:
-        return met
+    low = met(a.where(~many), b.where(~many))
     # the other hashes, tile by tile
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -83,4 +94,4 @@ def products(a: DataFrame, b: DataFrame | None = None, diagonal: bool = False, r
     if own:  # a tile of one block holds each pair in both orders, one of two blocks in one
         alone = of("a", blocks[0]) == of("b", blocks[0])
         tiled = tiled.where(ordered | ~alone).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "g")
-    return met.union(tiled).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    return low.union(tiled).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))

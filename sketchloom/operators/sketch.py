@@ -86,6 +86,37 @@ def _hits(pieces: DataFrame, k: int, keep: int, hashed) -> DataFrame:
     return pieces.mapInArrow(op, f"contig {key}, pos bigint, h bigint")
 
 
+def _squeezed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, ends, codes) of steps of a batch's texts: the place of the step's first text, where each text's bases begin, and the bases' codes."""
+    raw = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    cuts = [0, *(np.flatnonzero(np.diff((offsets - offsets[0]) // TEXT_BYTES)) + 1).tolist(), len(raw)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            letters = S.squeezed_codes(data[offsets[a] : offsets[b]])
+            on = letters < 4
+            yield a, np.concatenate([[0], np.cumsum(on)])[offsets[a : b + 1] - offsets[a]], letters[on]
+
+
+def text_bins(texts: DataFrame, bin_bp: int) -> DataFrame:
+    """bins() of texts (contig, text) whose letters stand for bases (squeezed()), from their bytes in one kernel."""
+    key = texts.schema["contig"].dataType.simpleString()
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, ends, codes in _squeezed(batch.column(1)):
+                size = np.diff(ends)
+                many = -(-size // bin_bp)
+                own = np.repeat(np.arange(len(size)), many)
+                start = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)) * bin_bp
+                end, gcs = np.minimum(start + bin_bp, size[own]), np.concatenate([[0], np.cumsum((codes == 1) | (codes == 2))])
+                gc = (gcs[ends[own] + end] - gcs[ends[own] + start]) / (end - start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own)), *[pa.array(x) for x in (start // bin_bp, start, end, end - start, gc)]], names=["contig", "bin", "start", "end", "acgt", "gc"])
+
+    return texts.select("contig", "text").mapInArrow(op, f"contig {key}, bin bigint, start bigint, end bigint, acgt bigint, gc double")
+
+
 def text_store(texts: DataFrame, k: int, scaled: int, bin_bp: int, portable: bool = False, seed: int = 42) -> DataFrame:
     """store() of texts (contig, text) whose letters stand for bases (squeezed()), from their bytes in one kernel.
 
@@ -99,22 +130,13 @@ def text_store(texts: DataFrame, k: int, scaled: int, bin_bp: int, portable: boo
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = pc.fill_null(batch.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
-            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-            cuts = [0, *(np.flatnonzero(np.diff((offsets - offsets[0]) // TEXT_BYTES)) + 1).tolist(), len(raw)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                letters = S.squeezed_codes(data[offsets[a] : offsets[b]])
-                on = letters < 4
-                ends = np.concatenate([[0], np.cumsum(on)])[offsets[a : b + 1] - offsets[a]]
-                own, at, h = _kept(ends, letters[on], k, keep, hashed)
+            for first, ends, codes in _squeezed(batch.column(1)):
+                own, at, h = _kept(ends, codes, k, keep, hashed)
                 place, h = np.stack([own, at // bin_bp]), h.view(np.int64)
                 order = np.lexsort((h, place[1], place[0]))
                 place, h = place[:, order], h[order]
                 new = np.flatnonzero(np.append(True, (np.diff(place, axis=1) != 0).any(0) | (np.diff(h) != 0))[: len(h)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + place[0][new])), pa.array(place[1][new]), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h))))], names=["contig", "bin", "h", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + place[0][new])), pa.array(place[1][new]), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h))))], names=["contig", "bin", "h", "n"])
 
     return texts.select("contig", "text").mapInArrow(op, f"contig {key}, bin bigint, h bigint, n bigint").groupBy("contig", "bin", "h").agg(F.sum("n").alias("n"))
 

@@ -49,6 +49,11 @@ def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(K.text_store(texts(spark, sf_dir), KMER, SCALED, BIN, portable=True), "store")
 
 
+def doc_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bins() of the documents."""
+    return K.text_bins(texts(spark, sf_dir), BIN)
+
+
 def sql_seqs(table: str = "documents", key: str = "doc_id") -> str:
     return f"SELECT {key} AS contig, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {table} WHERE text IS NOT NULL"
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sketchloom.functions import sequence as S
 from sketchloom.operators import evaluate as E
 from sketchloom.operators import neighbours as N
 from sketchloom.operators import products as P
@@ -46,6 +47,24 @@ def test_products(spark, monkeypatch, rare, block):
     assert {(r["a"], r["b"]["i"]): (r["n"], r["g"]) for r in P.products(da, named, rare=rare).collect() if r["b"]["c"] == 'x"é'} == brute(a, b)
 
 
+@pytest.mark.parametrize("joined, most", [(16, 2048), (0, 2048), (10**6, 8)])
+def test_products_by_what_a_join_would_make(spark, monkeypatch, joined, most):
+    """One hash in all rows: one join where it makes few pairs, tiles where it makes many or has too many rows."""
+    monkeypatch.setattr(P, "JOINED", joined)
+    monkeypatch.setattr(P, "MOST", most)
+    monkeypatch.setattr(P, "RARE", 4)
+    rows = [(r, h) for r in range(12) for h in (0, 100 + r // 2, *range(1000 + 9 * r, 1009 + 9 * r))]
+    got = P.products(spark.createDataFrame(rows, "row bigint, h bigint"))
+    assert {(x["a"], x["b"]): x["n"] for x in got.collect()} == {(a, b): 1 + (a // 2 == b // 2) for a in range(12) for b in range(a + 1, 12)}
+
+
+def test_bins_of_texts(spark):
+    """The kernel on bytes against the columns of bins(): empty, null and odd texts, letters of other alphabets."""
+    texts = spark.createDataFrame([(1, "Hello, brave new world " * 30), (2, ""), (3, None), (4, "…é 12 "), (5, "abcdefghij"), (6, "ß" + "xyz" * 7)], "contig bigint, text string")
+    squeezed = texts.where("text is not null").select("contig", S.squeezed(F.col("text")).alias("seq")).where("seq <> ''")
+    assert sorted(map(tuple, K.text_bins(texts, 10).collect())) == sorted(map(tuple, K.bins(squeezed, 10).collect()))
+
+
 def test_products_of_nothing(spark):
     none = spark.createDataFrame([], "row bigint, h bigint")
     assert P.products(none).count() == 0 and P.products(none, none).count() == 0
