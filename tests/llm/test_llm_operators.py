@@ -332,13 +332,15 @@ def brute_losses(rows, good):
     return [(len(w), *(sum(-np.log(f(a, b)) for a, b in w) / max(len(w), 1) for f in p)) for w in pairs]
 
 
-def test_lm_counts_every_ngram(spark, odd, none, monkeypatch):
+@pytest.mark.parametrize("fan", [4096, 5])
+def test_lm_counts_every_ngram(spark, odd, none, monkeypatch, fan):
     # more different words than the fixed table has ids
     r = random.Random(5)
     rows = [(i, " ".join(f"W{r.randrange(400_000)}" if r.random() < 0.8 else r.choice(["the", "Of", "and"]) for _ in range(6000))) for i in range(60)]
     rows += [(60, None), (61, ""), (None, "the Of and"), (3, "the and"), (3, "the and")]
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "FAN", fan)
     monkeypatch.setattr(lm_score, "PART", 1 << 16)
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 1 << 18)
     want = brute_losses(rows, {i for i in range(60) if i % 2 and zlib.crc32(str(i).encode()) % 5})
@@ -351,6 +353,24 @@ def test_lm_counts_every_ngram(spark, odd, none, monkeypatch):
     assert lm_score.cross_entropy(none, labels).count() == 0
 
 
+def test_lm_route_sends_few_rows():
+    """Each sender has at most fan receivers, each node at most about fan senders, and all chunks meet at a part."""
+    chunks, fan, keys = 100, 5, np.sort(np.random.default_rng(1).integers(0, 1 << 64, 4000, np.uint64))
+    route = lm_score.Route(chunks, (3, 120), fan)
+    assert route.levels == 3
+    sent = {(None, c): (c, keys) for c in range(chunks)}
+    for level in range(1, route.levels + 1):
+        asked = {}
+        for sender, (group, own) in sent.items():
+            to = list(route.split(own, 1, group, level))
+            assert len(to) <= fan and [n for n, _ in to] == sorted(n for n, _ in to) and sum(at.stop - at.start for _, at in to) == len(own)
+            for node, at in to:
+                asked.setdefault(node, []).append(own[at])
+        assert max(map(len, asked.values())) <= fan
+        sent = {(level, node): (route.below(node, level)[1], np.unique(np.concatenate(x))) for node, x in asked.items()}
+    assert len(sent) == 120 and np.array_equal(np.sort(np.concatenate([x for _, x in sent.values()])), keys)
+
+
 # 6: mixing ------------------------------------------------------------------------------
 
 
