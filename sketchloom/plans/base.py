@@ -49,6 +49,11 @@ def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(K.text_store(texts(spark, sf_dir), KMER, SCALED, BIN, portable=True), "store")
 
 
+def wide_store(spark: SparkSession, sf_dir: str, factor: int = 50) -> DataFrame:
+    """The store of bins `factor` times as wide, written in place of the narrow one."""
+    return written(K.parents(K.text_store(texts(spark, sf_dir), KMER, SCALED, BIN, portable=True), factor), "wide-store")
+
+
 def doc_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bins() of the documents."""
     return K.text_bins(texts(spark, sf_dir), BIN)
