@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import read, steps, texts_of, written
 
 MAX_N, MIN_COUNT, COVERED, TOP = 3, 10, 50, 2000
-#: Words of a part, as suffixes.
+#: Words that the suffixes of a part hold, max_n each: what a task sorts does not grow with max_n.
 PART_WORDS = 4_000_000
 #: Text bytes whose equal suffixes a task counts before it sends them.
 STEP = 3 << 20
@@ -192,17 +192,21 @@ class Stack:
         return out
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, part_words: int = PART_WORDS) -> DataFrame:
-    """(lang, words, k, f) of all phrases of 1 to max_n words found `least` times or more; words: word_counts(docs)."""
+def dealt(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, part_words: int = PART_WORDS) -> DataFrame:
+    """The suffixes in their parts, each sorted by key, largest first; words: word_counts(docs)."""
     total = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / part_words))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * max_n / part_words))
     hot: dict[str, dict[str, int]] = {}
     # at most 2 * parts words have so many suffixes
     for r in words.where(F.col("f") * (2 * parts) > total).collect():
         hot.setdefault(r["lang"], {})[r["word"]] = max(2, math.ceil(2 * parts * r["f"] / total))
     key, several = F.col("key"), ~F.col("key").startswith("1\t")
     own = F.when(several, F.pmod(F.xxhash64(key), F.substring_index(key, "\t", 1).cast("long"))).otherwise(F.lit(0))
-    dealt = suffixes(docs, hot, max_n).repartition(parts, F.substring_index(key, "\t", 3), own).sortWithinPartitions(key.desc())
+    return suffixes(docs, hot, max_n).repartition(parts, F.substring_index(key, "\t", 3), own).sortWithinPartitions(key.desc())
+
+
+def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, part_words: int = PART_WORDS) -> DataFrame:
+    """(lang, words, k, f) of all phrases of 1 to max_n words found `least` times or more; words: word_counts(docs)."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(max_n, least)
@@ -211,12 +215,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, least:
             yield batch_of(stack.push(batch.column(0), batch.column(1).to_numpy()))
         yield batch_of([x for d in range(1, max_n + 1) for x in stack.close(d)])
 
-    counted = written(dealt.mapInArrow(op, "key string, f bigint"), "prefixes")
-    summed = counted.where(several).groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    split = F.split(key, "\t")
+    # only prefixes of several parts have more than one row; all go the same way, so that nothing is written in between
+    counted = dealt(docs, words, max_n, part_words).mapInArrow(op, "key string, f bigint").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    split = F.split("key", "\t")
     lang = F.replace(F.replace(F.get(split, 1), F.lit("%09"), F.lit("\t")), F.lit("%25"), F.lit("%"))
-    both = counted.where(~several).unionByName(summed)
-    return both.select(lang.alias("lang"), F.slice(split, F.lit(3), F.size(split) - 3).alias("words"), (F.size(split) - 3).alias("k"), "f")
+    return counted.select(lang.alias("lang"), F.slice(split, F.lit(3), F.size(split) - 3).alias("words"), (F.size(split) - 3).alias("k"), "f")
 
 
 def _phrase(words: Column) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sketchloom.llm import phrases
 
@@ -68,6 +69,24 @@ def test_hot_words_go_to_several_parts(spark, monkeypatch):
     assert {(r["lang"], r["word"]): r["f"] for r in words.collect()} == {k: v for k, v in want.items() if len(k[1].split(" ")) == 1}
 
 
+@pytest.mark.parametrize("max_n", [3, 8])
+def test_parts_hold_so_many_words(spark, max_n):
+    """Longer suffixes go to more parts, so that what a task sorts stays as large."""
+    r = random.Random(max_n)
+    df = spark.createDataFrame([("en", " ".join(f"w{r.randint(0, 999)}" for _ in range(500))) for _ in range(40)], "lang string, text string")
+    sorted_by_part = phrases.dealt(df, phrases.word_counts(df), max_n, part_words=3000).select(F.spark_partition_id().alias("part"), (F.size(F.split("key", "\t")) - 3).alias("words"))
+    held = [x["words"] for x in sorted_by_part.groupBy("part").agg(F.sum("words").alias("words")).collect()]
+    assert 0.9 * 20_000 * max_n < sum(held) <= 20_000 * max_n and max(held) <= 2 * 3000
+
+
+def test_nothing_is_written_between_parts_and_phrases(spark, monkeypatch):
+    names, write = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, name: names.append(name) or write(df, name))
+    rows = texts(2, 60)
+    assert found(phrases.collocations(spark.createDataFrame(rows, "lang string, text string"))) == brute(rows)
+    assert names == ["words", "phrases", "scored"]
+
+
 def test_many_words_in_one_text(spark):
     r = random.Random(4)
     rows = [("en", " ".join(f"v{r.randint(0, 40)}" for _ in range(60_000))), ("en", "x" * 100_000), ("en", "")]
