@@ -100,6 +100,25 @@ def long_tau(values: Column, tie: float = 0.01) -> Column:
     return op(values)
 
 
+def ordered_tau(w: Column, mb: Column, n: Column, tie: float = 0.01) -> Column:
+    """long_tau() of the values mb at the places w, arrays in the order of w, among n rows: pairs of one w have no order and count as none; null without any ordered pair."""
+
+    @F.pandas_udf("double")
+    def op(places: pd.Series, values: pd.Series, many: pd.Series) -> pd.Series:
+        def one(w: np.ndarray, mb: np.ndarray, m: int) -> float | None:
+            if m < 2:
+                return 0.0
+            if not len(w) or w[0] == w[-1]:
+                return None
+            alike = np.flatnonzero(np.diff(w) == 0)
+            groups = np.unique(w[alike]) if len(alike) else []
+            return (signs(mb, tie) - sum(signs(mb[w == x], tie) for x in groups)) / (m * (m - 1) / 2)
+
+        return pd.Series([one(w, mb, m) for w, mb, m in zip(places, values, many)], dtype="Float64")
+
+    return op(w, mb, n)
+
+
 def tau_a(values: Column, tie: float = 0.01) -> Column:
     """Kendall's tau-a of a short array in its order; differences up to `tie` count as none; 0 under two values."""
     n = F.size(values)

@@ -126,5 +126,6 @@ s AS (SELECT a.contig, sum(CASE WHEN abs(b.mb - a.mb) > 0.01 THEN sign(b.mb - a.
 n AS (SELECT contig, count(*) AS n FROM v GROUP BY contig)
 SELECT n.contig, n, round(CASE WHEN n < 2 THEN 0 ELSE s / (n * (n - 1) / 2) END, 6) AS tau FROM n LEFT JOIN s USING (contig)""")
 def k4_kendall_tau(spark, sf_dir):
-    walk = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contig")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"] / 100).alias("v"))
-    return walk.select("contig", "n", F.round(O.long_tau(F.col("v")), 6).alias("tau"))
+    line = F.struct((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("w"), (F.col("l_partkey") / 100).alias("mb"))
+    walk = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contig")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(line["w"].isNotNull(), line))).alias("v"))
+    return walk.select("contig", "n", F.round(O.ordered_tau(F.col("v.w"), F.col("v.mb"), F.col("n")), 6).alias("tau"))
